@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import decontaminate, digest
 from .packing import pack
 from .token_counts import token_counts
 from .token_files import token_files
@@ -25,10 +26,15 @@ def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op4_best_two_fit": op4_best_two_fit,
     "op7_token_files": op7_token_files,
+    "op9_positional_index": op9_positional_index,
 }
 
 ORACLE_SQL: dict[str, str] = {}
