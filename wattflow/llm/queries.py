@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate, digest
 from .packing import pack
+from .sharding import place
 from .token_counts import token_counts
 from .token_files import token_files
+from .warc import archives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +33,22 @@ def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_lookup_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = place(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return placed.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "slot", "shard_id", "shard")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op4_best_two_fit": op4_best_two_fit,
+    "op5_warc_normaliser": op5_warc_normaliser,
     "op7_token_files": op7_token_files,
     "op9_positional_index": op9_positional_index,
+    "op10_lookup_table": op10_lookup_table,
 }
 
 ORACLE_SQL: dict[str, str] = {}
