@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate, digest
+from .jaccard import near_duplicates
 from .packing import pack
 from .sharding import place
 from .token_counts import token_counts
@@ -42,8 +43,13 @@ def op10_lookup_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "slot", "shard_id", "shard")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_best_two_fit": op4_best_two_fit,
     "op5_warc_normaliser": op5_warc_normaliser,
     "op7_token_files": op7_token_files,
