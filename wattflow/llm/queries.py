@@ -9,6 +9,7 @@ from .decontaminate import decontaminate, digest
 from .jaccard import near_duplicates
 from .packing import pack
 from .sharding import place
+from .substrings import repeated_passages
 from .token_counts import token_counts
 from .token_files import token_files
 from .warc import archives
@@ -43,12 +44,17 @@ def op10_lookup_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "slot", "shard_id", "shard")
 
 
+def op2_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_paragraph_minhash": op2_paragraph_minhash,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_best_two_fit": op4_best_two_fit,
     "op5_warc_normaliser": op5_warc_normaliser,
