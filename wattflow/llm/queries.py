@@ -12,6 +12,7 @@ from .sharding import place
 from .substrings import repeated_passages
 from .token_counts import token_counts
 from .token_files import token_files
+from .toxicity import score_toxicity
 from .warc import archives
 
 
@@ -31,6 +32,11 @@ def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_maximal_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -59,6 +65,7 @@ QUERIES = {
     "op4_best_two_fit": op4_best_two_fit,
     "op5_warc_normaliser": op5_warc_normaliser,
     "op7_token_files": op7_token_files,
+    "op8_maximal_segments": op8_maximal_segments,
     "op9_positional_index": op9_positional_index,
     "op10_lookup_table": op10_lookup_table,
 }
