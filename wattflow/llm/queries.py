@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import decontaminate, digest
 from .jaccard import near_duplicates
 from .packing import pack
+from .quality import quality_rules
 from .sharding import place
 from .substrings import repeated_passages
 from .token_counts import token_counts
@@ -24,6 +25,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(spark, table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -64,6 +70,7 @@ QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_best_two_fit": op4_best_two_fit,
     "op5_warc_normaliser": op5_warc_normaliser,
+    "op6_robust_outliers": op6_robust_outliers,
     "op7_token_files": op7_token_files,
     "op8_maximal_segments": op8_maximal_segments,
     "op9_positional_index": op9_positional_index,
