@@ -5,8 +5,10 @@ sets in a common order (as many as a linked set may lack, and one). The order is
 shingles of the corpus stand last, so that a passage that very many texts share is not what brings texts together.
 Shingles so shared by few classes give pairs. Where many classes share one, each is paired with three of them, and only
 those that the links found so far leave in different components are compared with each other: in tiles of two blocks of
-classes in the same or neighbouring size bands. Every comparison first bounds the overlap from above by the bit counts
-of hashed bitmap signatures and then intersects the sorted sets.
+classes in the same or neighbouring size bands, of all classes that shared shingles bring together, or if these are
+very many, of the classes of one shingle. Every comparison first bounds the overlap from above by the bit counts of
+hashed bitmap signatures; the sorted sets of classes that have a possible partner left are then intersected, in tiles
+of the classes that possible pairs bring together.
 """
 
 from __future__ import annotations
@@ -25,19 +27,23 @@ from .scratch import Scratch
 SHINGLE = 5
 PERCENT = 80
 #: A shingle is a candidate for the frequent ones if a task sees it so often in one lot of shingles.
-OFTEN = 16
+OFTEN = 4
 LOT_SHINGLES = 4_000_000
 #: So many of the most frequent shingles stand last in the order. This bounds a broadcast; the result does not depend on it.
 FREQUENT = 131_072
 #: Up to so many classes that share a shingle are paired directly.
-FEW = 32
+FEW = 8
 #: Classes in a block of a tile.
 BLOCK = 512
+#: Up to so many classes that shared shingles bring together are tiled as one group, each set going to few tiles.
+GROUP = 8192
 #: Ids are broadcast up to this number, else joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 POSTINGS_LOT = 1_000_000
-#: Bits of a signature.
-BITS = 1024
+#: Bits of a signature for pairs.
+BITS = 2048
+#: Bits for each shingle of a signature for tiles, made up to a power of two.
+WIDE = 16
 
 
 def sets_of(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +79,20 @@ def signature(values: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
+def wide_signature(values: np.ndarray) -> np.ndarray:
+    """The same with bits in proportion to the set; a longer one folds onto a shorter one."""
+    n = max(64, 1 << (WIDE * max(1, len(values)) - 1).bit_length())
+    bits = np.zeros(n, np.uint8)
+    bits[((values >> np.uint64(20)) & np.uint64(n - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
+def folded(signs: np.ndarray) -> np.ndarray:
+    """Signatures (in rows) of half the bits."""
+    half = signs.shape[-1] // 2
+    return signs[..., :half] | signs[..., half:]
+
+
 def overlap_bound(n_a, n_b, sig_a: np.ndarray, sig_b: np.ndarray):
     """At most so many shingles are common: each bit that only one signature has stands for one that the other set lacks."""
     return np.minimum(n_a - np.bitwise_count(sig_a & ~sig_b).sum(-1, dtype=np.int64), n_b - np.bitwise_count(sig_b & ~sig_a).sum(-1, dtype=np.int64))
@@ -213,16 +233,17 @@ def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """class, n and sorted set (binary) of each text."""
+    """class, n, sorted set and signatures (binary) of each text."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in W.pieces(batch, "text"):
                 values, bounds = sets_of(piece.column(1), shingle)
                 data = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(classes_of(values, bounds)), pa.array(np.diff(bounds)), pa.array(data, pa.binary())], ["class", "n", "set"])
+                signs = [[f(values[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] for f in (signature, wide_signature)]
+                yield pa.RecordBatch.from_arrays([pa.array(classes_of(values, bounds)), pa.array(np.diff(bounds)), *(pa.array(x, pa.binary()) for x in (data, *signs))], ["class", "n", "set", "sign", "wide"])
 
-    return docs.mapInArrow(build, "class long, n long, set binary")
+    return docs.mapInArrow(build, "class long, n long, set binary, sign binary, wide binary")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -234,25 +255,51 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
+def _only(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The sets of some classes (saved, distinct): by broadcast where they are few, else by a shuffle."""
+    few = classes.count() <= BROADCAST_IDS
+    return sets.join(F.broadcast(classes) if few else classes.hint("merge"), "class", "left_semi")
+
+
+def _both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """The pairs with n and a column of each side."""
+    side = lambda c: sets.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col(column).alias(f"x_{c}"))
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "x_a", "x_b")
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may link by their signatures."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [batch.column(i).to_numpy() for i in (2, 3)]
+            signs = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5)]
+            kept = batch.filter(pa.array(linked(*n, overlap_bound(*n, *signs), percent))) if batch.num_rows else batch
+            yield pa.RecordBatch.from_arrays(kept.columns[:2], ["a", "b"])
+
+    return _both(pairs, sets, "sign").mapInArrow(check, "a long, b long")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link: first by signatures, then exactly."""
+    """The pairs that link, by exact intersection."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
                 u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                keep.append(bool(linked(len(u), len(v), overlap_bound(len(u), len(v), signature(u), signature(v)), percent)) and linked(len(u), len(v), overlap(u, v), percent))
+                keep.append(linked(len(u), len(v), overlap(u, v), percent))
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays(kept.columns[:2], ["a", "b"])
 
-    side = lambda c: sets.select(F.col("class").alias(c), F.col("set").alias(f"set_{c}"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
+    return _both(pairs, sets, "set").mapInArrow(check, "a long, b long")
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
-    """Rows of (code, class, n, root), each in every tile where it meets classes of its own or the neighbouring size bands."""
-    banded = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
+    """Rows of (code, class, n, root), each in every tile where it meets classes of its own or the neighbouring size bands. A group that fits a block is one tile."""
+    small = rows.groupBy("code").agg((F.count("*") <= BLOCK).alias("small"))
+    band = F.when(F.col("small"), 0).otherwise(F.floor(F.log("n") / F.log(F.lit(1.25)))).cast("int")
+    banded = rows.join(small, "code").withColumn("band", band).drop("small")
     blocks = banded.groupBy("code", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     near = [blocks.select("code", (F.col("band") + d).alias("band"), F.col("blocks").alias(name)) for d, name in ((1, "lower"), (-1, "upper"))]
     sized = banded.join(blocks, ["code", "band"]).join(near[0], ["code", "band"], "left").join(near[1], ["code", "band"], "left")
@@ -266,34 +313,82 @@ def _tiles(rows: DataFrame) -> DataFrame:
     return own.select("code", "class", "root", "band", "block", F.explode(F.concat(same, below, above)).alias("tile")).select("code", "tile.*", "class", "root", (F.struct("band", "block") == F.struct("tile.band_1", "tile.block_1")).alias("left"), (F.struct("band", "block") == F.struct("tile.band_2", "tile.block_2")).alias("right"))
 
 
+def _forest(table: pa.Table, partners, by_root: bool) -> pa.Table:
+    """Pairs of classes of different components in a tile that partners(i, others) finds, as few as join what they join.
+
+    By root, a pair joins the whole components of its classes; else only the two classes, as for pairs that may turn
+    out not to link and so must not stand for other pairs of their components.
+    """
+    classes, roots = table.column("class").to_numpy(), table.column("root").to_numpy()
+    now = roots.copy() if by_root else np.unique(classes, return_inverse=True)[1]
+    right = np.flatnonzero(table.column("right").to_numpy(zero_copy_only=False))
+    a, b = [], []
+    for i in np.flatnonzero(table.column("left").to_numpy(zero_copy_only=False)):
+        for j in partners(i, right[(roots[right] != roots[i]) & (now[right] != now[i])]):
+            if now[i] != now[j]:
+                a.append(classes[i])
+                b.append(classes[j])
+                now[now == now[j]] = now[i]
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+TILE = ["code", "band_1", "block_1", "band_2", "block_2"]
+
+
+def _near_tiles(tiles: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each tile (with column wide) that join all that may link by their signatures."""
+
+    def near(table: pa.Table) -> pa.Table:
+        sizes = table.column("n").to_numpy()
+        data = table.column("wide").to_pylist()
+        lengths = np.array([len(x) // 8 for x in data])
+        at, signs, halves = np.zeros(len(data), np.int64), {}, {}
+        for length in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == length)
+            at[own] = np.arange(len(own))
+            signs[length] = np.frombuffer(b"".join(data[k] for k in own), np.uint64).reshape(len(own), length)
+            halves[length] = folded(signs[length])
+
+        def partners(i: int, others: np.ndarray) -> np.ndarray:
+            others = others[linked(sizes[i], sizes[others], np.minimum(sizes[i], sizes[others]), percent)]
+            length, found = int(lengths[i]), []
+            for other, mine, theirs in ((length, signs, signs), (2 * length, signs, halves), (length // 2, halves, signs)):
+                own = others[lengths[others] == other]
+                if len(own):
+                    bound = overlap_bound(sizes[i], sizes[own], mine[length][at[i]], theirs[other][at[own]])
+                    found.append(own[linked(sizes[i], sizes[own], bound, percent)])
+            return np.concatenate(found) if found else others[:0]
+
+        return _forest(table, partners, by_root=False)
+
+    return tiles.groupBy(*TILE).applyInArrow(near, "a long, b long")
+
+
 def _compare(tiles: DataFrame, percent: int) -> DataFrame:
-    """Links between classes of different components in each tile, as few as join what they join."""
+    """Links of each tile (with columns sign and set), as few as join what they join."""
 
     def compare(table: pa.Table) -> pa.Table:
-        classes, roots = table.column("class").to_numpy(), table.column("root").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
-        sizes = np.array([len(x) for x in sets])
-        signs = np.array([signature(x) for x in sets])
-        parent = {int(r): int(r) for r in roots}
-
-        def top(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        a, b = [], []
-        others = np.flatnonzero(table.column("right").to_numpy(zero_copy_only=False))
-        for i in np.flatnonzero(table.column("left").to_numpy(zero_copy_only=False)):
-            apart = others[roots[others] != roots[i]]
-            apart = apart[linked(sizes[i], sizes[apart], overlap_bound(sizes[i], sizes[apart], signs[i], signs[apart]), percent)]
-            for j in apart:
-                if top(int(roots[i])) != top(int(roots[j])) and linked(sizes[i], sizes[j], overlap(sets[i], sets[j]), percent):
-                    parent[top(int(roots[i]))] = top(int(roots[j]))
-                    a.append(classes[i])
-                    b.append(classes[j])
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return tiles.groupBy("code", "band_1", "block_1", "band_2", "block_2").applyInArrow(compare, "a long, b long")
+        sizes = table.column("n").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+        signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint64).reshape(len(sets), -1)
+
+        def partners(i: int, others: np.ndarray) -> Iterator[int]:
+            others = others[linked(sizes[i], sizes[others], overlap_bound(sizes[i], sizes[others], signs[i], signs[others]), percent)]
+            return (j for j in others if linked(sizes[i], sizes[j], overlap(sets[i], sets[j]), percent))
+
+        return _forest(table, partners, by_root=True)
+
+    return tiles.groupBy(*TILE).applyInArrow(compare, "a long, b long")
+
+
+def _grouped(spark: SparkSession, unsettled: DataFrame, scratch: Scratch) -> DataFrame:
+    """Unsettled rows (code, class, n, root) with the group of classes that shared codes bring together as their code, if it is not too large."""
+    first = unsettled.groupBy("code").agg(F.min("class").alias("first"))
+    chains = unsettled.join(first, "code").select(F.col("class").alias("a"), F.col("first").alias("b")).distinct()
+    groups = scratch.save(connected_components(spark, chains).select(F.col("node").alias("class"), F.col("root").alias("group")), "groups")
+    sizes = groups.groupBy("group").agg((F.count("*") <= GROUP).alias("whole"))
+    rows = unsettled.join(groups.join(sizes, "group"), "class")
+    return rows.select(F.when(F.col("whole"), F.col("group")).otherwise(F.col("code")).alias("code"), F.col("whole"), "class", "n", "root").distinct().withColumn("code", F.xxhash64("code", "whole")).drop("whole")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -323,15 +418,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     first = members.where("class is not null").groupBy("class").agg(F.min("id").alias("least"))
     sought = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(many.select("class")).distinct()
     ids = scratch.save(sought.join(first, "class").select(F.col("least").alias("id")).where("id is not null").distinct(), "ids")
-    sets = scratch.save(_sets(_with_ids(rows, ids), shingle).dropDuplicates(["class"]), "sets")
-    links = scratch.save(_verify(pairs, sets, percent), "links")
+    sets = scratch.save(_sets(_with_ids(rows, ids), shingle), "sets")  # a class that two rows of one id have stands twice, to no effect
+    possible = scratch.save(_possible(pairs, sets, percent).distinct(), "possible")
+    of_possible = scratch.save(possible.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "possible-classes")
+    links = scratch.save(_verify(possible, _only(sets, of_possible), percent), "links")
     roots = scratch.save(connected_components(spark, links), "roots")
 
     joined = many.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    open_codes = joined.groupBy("code").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("code")
+    # A code stands for all codes with the same classes, which copies have in great number.
+    whole = joined.groupBy("code").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum")).where("low != high")
+    open_codes = whole.groupBy("n", "sum").agg(F.min("code").alias("code")).select("code")
     unsettled = scratch.save(joined.join(open_codes, "code", "left_semi"), "unsettled")
     if not unsettled.isEmpty():
-        more = scratch.save(_compare(_tiles(unsettled).join(sets.select("class", "set"), "class"), percent).distinct(), "more")
+        grouped = scratch.save(_grouped(spark, unsettled, scratch), "grouped")
+        of_tiles = scratch.save(grouped.select("class").distinct(), "grouped-classes")
+        tiles = _tiles(grouped).join(_only(sets, of_tiles).select("class", "n", "wide"), "class")
+        near = scratch.save(_near_tiles(tiles, percent).distinct(), "near")
+        close = connected_components(spark, near).select(F.col("node").alias("class"), F.col("root").alias("code"))
+        close = scratch.save(close.join(grouped.select("class", "n", "root").distinct(), "class").select("code", "class", "n", "root"), "close")
+        tiles = _tiles(close).join(_only(sets, close.select("class")).select("class", "n", "set", "sign"), "class")
+        more = scratch.save(_compare(tiles, percent).distinct(), "more")
         if not more.isEmpty():
             roots = scratch.save(connected_components(spark, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "all-roots")
 
@@ -339,5 +445,5 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = named.join(names, "root").select("class", "component_id")
     result = scratch.save(members.join(of_class, "class", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")), "result")
-    scratch.drop("survey", "found", "pairs", "ids", "sets", "links", "roots", "unsettled", "more", "all-roots")
+    scratch.drop("survey", "found", "pairs", "ids", "sets", "possible", "possible-classes", "links", "roots", "unsettled", "groups", "grouped", "grouped-classes", "near", "close", "more", "all-roots")
     return result
