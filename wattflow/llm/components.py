@@ -22,7 +22,7 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """
     scratch = Scratch(spark, "components")
     nodes = scratch.save(edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "round-0")
-    now, n, before = nodes.where("u != v"), 0, None
+    now, n = nodes.where("u != v"), 0
     loops = nodes.where("u = v").select(F.col("u").alias("node"))
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,11 +31,11 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         stars = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         n += 1
         now = scratch.save(stars, f"round-{n}")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count(F.when(F.col("u") <= F.col("v"), 1))).first()
-        if n > 2:
-            scratch.drop(f"round-{n - 2}")
-        if state == before:
-            break
-        before = state
+        if n > 1:
+            scratch.drop(f"round-{n - 1}")
+        counts = now.agg(F.count("*").alias("edges"), F.count_distinct("u").alias("leaves")).first()
+        centres = now.select(F.col("v").alias("u")).distinct()
+        if counts["edges"] == counts["leaves"] and now.join(centres, "u", "left_semi").isEmpty():
+            break  # each edge leads from a leaf of its own to a centre that is no leaf: a star for each component
     roots = now.select(F.col("v").alias("node")).unionByName(loops)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.distinct().join(now.select(F.col("u").alias("node")), "node", "left_anti").select("node", F.col("node").alias("root")))
