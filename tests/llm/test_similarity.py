@@ -109,6 +109,14 @@ def test_repeated_passages(spark, make_docs):
     assert substrings.repeated_passages(spark, make_docs([(1, PASSAGE), (1, PASSAGE), (None, PASSAGE)])).count() == 0
 
 
+def test_lines_of_a_common_template_are_all_compared(spark, make_docs):
+    """Lines that share bands by their template, in which each line is like one other only."""
+    head = " ".join(f"t{i}" for i in range(106))
+    texts = [f"{head} " + " ".join(f"own{k // 2}x{i}" for i in range(13)) + f" last{k}" for k in range(240)]
+    found = substrings.repeated_passages(spark, make_docs(texts)).where("kind = 'near'").collect()
+    assert sorted((r.doc_id, r.kept_ids, r.first_word, r.n_words) for r in found) == [(k, [k - 1], 0, 120) for k in range(1, 240, 2)]
+
+
 def test_band_recall():
     rnd, hits = random.Random(5), 0
     for _ in range(100):

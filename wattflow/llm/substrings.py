@@ -1,7 +1,8 @@
 """Removal of passages that repeat across documents.
 
 A text's paragraphs are taken at two grains. Lines of LINE_WORDS words or more get MinHash bands; lines that collide in
-a band are joined, checked by exact Jaccard similarity of their shingles, and linked lines form components. Sentences
+a band are joined, checked by exact Jaccard similarity of their shingles, and linked lines form components: first each
+line of a band with two of it, then, in tiles, all lines of a band that are still in different components. Sentences
 (the parts of a line between full stops, or between content-defined cuts where a line has none) have one band, the
 fingerprint of all their words, so that a passage in the middle of otherwise different lines is found as well. Of each
 component and each repeated sentence the copy in the document with the smallest id stays; neighbouring sentences to be
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import connected_components
-from .jaccard import _with_ids, classes_of, linked, overlap
+from .jaccard import TILE, _forest, _tiles, _with_ids, classes_of, linked, overlap, overlap_bound, signature
 from .scratch import Scratch
 
 SHINGLE = 5
@@ -176,6 +177,32 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
 
 
+def _unsettled(banded: DataFrame, roots: DataFrame) -> DataFrame:
+    """Keys (class, with root) of the bands (code) that the links found so far leave in different components. Of bands with the same keys one stands for all."""
+    crowded = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 3").select("band")  # of up to three keys all pairs are star pairs
+    joined = banded.join(crowded, "band").distinct().join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    whole = joined.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum")).where("low < high and n > 3")
+    chosen = whole.groupBy("n", "sum").agg(F.min("band").alias("band")).select("band")
+    return joined.join(chosen, "band", "left_semi").select(F.col("band").alias("code"), F.col("key").alias("class"), "root")
+
+
+def _settle(tiles: DataFrame, percent: int) -> DataFrame:
+    """Links of each tile (with column set) between components, as few as join what they join."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+        sizes = np.array([len(x) for x in sets])
+        signs = np.stack([signature(x) for x in sets])
+
+        def partners(i: int, others: np.ndarray) -> Iterator[int]:
+            others = others[linked(sizes[i], sizes[others], overlap_bound(sizes[i], sizes[others], signs[i], signs[others]), percent)]
+            return (j for j in others if linked(sizes[i], sizes[j], overlap(sets[i], sets[j]), percent))
+
+        return _forest(table, partners, by_root=True)
+
+    return tiles.groupBy(*TILE).applyInArrow(compare, "a long, b long")
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """A row for each passage to be removed: id, kind (exact or near), first_word, n_words, first_byte, n_bytes, kept_ids.
 
@@ -204,14 +231,20 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     sought = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     ids = scratch.save(lines.groupBy("key").agg(F.min("doc").alias("id")).join(sought, "key").select("id").distinct(), "ids")
     sets = scratch.save(_line_sets(_with_ids(rows, ids), shingle).dropDuplicates(["key"]).join(sought, "key", "left_semi"), "sets")
-    roots = connected_components(spark, scratch.save(_verify(pairs, sets, percent), "links"))
+    roots = scratch.save(connected_components(spark, scratch.save(_verify(pairs, sets, percent), "links")), "roots")
+    unsettled = scratch.save(_unsettled(banded, roots), "unsettled")
+    if not unsettled.isEmpty():
+        sized = unsettled.join(sets.select(F.col("key").alias("class"), (F.length("set") / 8).cast("long").alias("n")), "class")
+        more = scratch.save(_settle(_tiles(sized).join(sets.withColumnRenamed("key", "class"), "class"), percent).distinct(), "more")
+        if not more.isEmpty():
+            roots = connected_components(spark, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     alike = lines.join(roots.withColumnRenamed("node", "key"), "key")
     kept = alike.groupBy("root").agg(F.min("doc").alias("kept"))
     near = alike.join(kept, "root").where("doc != kept").select("doc", "w0", "w1", "b0", "b1", F.array("kept").alias("kept_ids")).where(F.col("w1") - F.col("w0") >= passage_words)
 
     both = exact.withColumn("kind", F.lit("exact")).unionByName(near.withColumn("kind", F.lit("near")))
     result = scratch.save(both.select(F.col("doc").alias(id_col), "kind", F.col("w0").alias("first_word"), (F.col("w1") - F.col("w0")).alias("n_words"), F.col("b0").alias("first_byte"), (F.col("b1") - F.col("b0")).alias("n_bytes"), "kept_ids"), "result")
-    scratch.drop("units", "exact", "pairs", "ids", "sets", "links")
+    scratch.drop("units", "exact", "pairs", "ids", "sets", "links", "roots", "unsettled", "more")
     return result
 
 
