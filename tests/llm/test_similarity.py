@@ -117,6 +117,22 @@ def test_lines_of_a_common_template_are_all_compared(spark, make_docs):
     assert sorted((r.doc_id, r.kept_ids, r.first_word, r.n_words) for r in found) == [(k, [k - 1], 0, 120) for k in range(1, 240, 2)]
 
 
+@pytest.mark.parametrize("size", [19, 20, 33, 51, 60])
+@pytest.mark.parametrize("stops", [0, 25])
+def test_passages_that_keep_to_no_sentences(spark, make_docs, size, stops):
+    """Whole passages of 20 words or more go, whatever surrounds them, with other line breaks and in capitals."""
+    own = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    passages = [[f"P{k}x{i}" + "." * (stops and i % stops == stops - 1) for i in range(size)] for k in range(6)]
+    texts = [f"{own(f'a{k}', 7 + k)} {' '.join(p)} {own(f'b{k}', 50)}" for k, p in enumerate(passages)]
+    texts += [f"{own(f'c{k}', 60)} {' '.join(p[:9])}\n{' '.join(p[9:]).lower()} {own(f'd{k}', k)}" for k, p in enumerate(passages)]
+    found = substrings.repeated_passages(spark, make_docs(texts)).collect()
+    expected = [(6 + k, "exact", 60, size, [k]) for k in range(6)] if size >= 20 else []
+    assert sorted((r.doc_id, r.kind, r.first_word, r.n_words, r.kept_ids) for r in found) == expected
+    for r in found:
+        cut = texts[r.doc_id].encode()[r.first_byte : r.first_byte + r.n_bytes].decode().split()
+        assert [w.lower() for w in cut] == [w.lower() for w in passages[r.doc_id - 6]]
+
+
 def test_band_recall():
     rnd, hits = random.Random(5), 0
     for _ in range(100):

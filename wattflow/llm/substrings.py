@@ -4,9 +4,15 @@ A text's paragraphs are taken at two grains. Lines of LINE_WORDS words or more g
 a band are joined, checked by exact Jaccard similarity of their shingles, and linked lines form components: first each
 line of a band with two of it, then, in tiles, all lines of a band that are still in different components. Sentences
 (the parts of a line between full stops, or between content-defined cuts where a line has none) have one band, the
-fingerprint of all their words, so that a passage in the middle of otherwise different lines is found as well. Of each
-component and each repeated sentence the copy in the document with the smallest id stays; neighbouring sentences to be
-removed make a passage, and passages of PASSAGE_WORDS words or more are removed.
+fingerprint of all their words, so that a passage in the middle of otherwise different lines is found as well.
+
+Passages that keep to no sentences are found exactly: of any PASSAGE_WORDS words in a row the least of their shingles of
+ANCHOR words is an anchor, so that equal stretches have an equal anchor at the same place. Around anchors that stand in
+several documents all windows of PASSAGE_WORDS words are compared by fingerprint; a window goes with its first anchor, so
+that one shuffle by anchor brings equal windows together.
+
+Of each component, repeated sentence and repeated window the copy in the document with the smallest id stays; sentences
+and windows to be removed that touch make a passage, and passages of PASSAGE_WORDS words or more are removed.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ LINE_WORDS = 20
 PASSAGE_WORDS = 20
 #: Shorter sentences repeat by chance; they go with a passage that surrounds them.
 SENTENCE_WORDS = 4
+#: Words of an anchor; of a window's anchors one at least is chosen, in all one place in seven.
+ANCHOR = 8
 #: A longer stretch without a full stop is cut at words of which one in CUT is chosen by fingerprint.
 LONG_SENTENCE = 48
 CUT = 16
@@ -93,8 +101,35 @@ def band_keys(values: np.ndarray, bounds: np.ndarray, bands: int = BANDS, rows:
     return keys.view(np.int64)
 
 
-def _units(docs: DataFrame, shingle: int) -> DataFrame:
-    """Kind 0: sentences, key: fingerprint of the words; kind 1: long lines, key: fingerprint of the shingle set, with bands where the set is new in its lot. Words and bytes are counted in the text."""
+def _sums(prints: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(prints * W._power(W._BASE, len(prints) + 1)[:-1], dtype=np.uint64)])
+
+
+def _prints(sums: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> np.ndarray:
+    """Fingerprints of the words w0 to w1, from the _sums of all."""
+    return W.mix((sums[w1] - sums[w0]) * W._power(W._INVERSE, len(sums))[w0] + (w1 - w0).astype(np.uint64))
+
+
+def anchors(found: W.Words, sums: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows that lie inside a text, for each its anchor (the first of its least shingles), and the shingles' fingerprints."""
+    size = min(ANCHOR, window)
+    if len(found.prints) < window:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), sums[:0]
+    at = np.arange(len(found.prints) - size + 1)
+    keys = _prints(sums, at, at + size)
+    least = keys[: len(found.prints) - window + 1].copy()
+    place = at[: len(least)].copy()
+    for step in range(1, window - size + 1):
+        less = keys[step : step + len(least)] < least
+        least[less] = keys[step : step + len(least)][less]
+        place[less] = at[step : step + len(least)][less]
+    ends = np.repeat(found.bounds[1:], np.diff(found.bounds))
+    inside = np.flatnonzero(np.arange(len(least)) + window <= ends[: len(least)])
+    return inside, place[inside], keys
+
+
+def _units(docs: DataFrame, shingle: int, window: int) -> DataFrame:
+    """Kind 0: sentences, key: fingerprint of the words; kind 1: long lines, key: fingerprint of the shingle set, with bands where the set is new in its lot; kind 2: anchors, key: fingerprint of the words, of which only w0 is given. Words and bytes are counted in the text."""
 
     def rows(kind: int, key: np.ndarray, doc, text: np.ndarray, seq: np.ndarray, found: W.Words, places: np.ndarray, w0: np.ndarray, w1: np.ndarray, bands) -> pa.RecordBatch:
         first = found.bounds[text]
@@ -116,14 +151,19 @@ def _units(docs: DataFrame, shingle: int) -> DataFrame:
                 edges = _runs(new)
                 keep = (np.diff(edges) >= SENTENCE_WORDS) | long[edges[:-1]]
                 w0, w1 = edges[:-1][keep], edges[1:][keep]
-                power = W._power(W._BASE, n + 1)
-                inverse = W._power(W._INVERSE, n + 1)
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(found.prints * power[:n], dtype=np.uint64)])
-                key = W.mix((sums[w1] - sums[w0]) * inverse[w0] + (w1 - w0).astype(np.uint64)).view(np.int64)
+                sums = _sums(found.prints)
+                key = _prints(sums, w0, w1).view(np.int64)
                 text = of_text[w0]
                 seq = np.arange(len(w0)) - np.searchsorted(text, text)
                 yield rows(0, key, piece.column(0), text, seq, found, places, w0, w1, pa.nulls(len(key), pa.list_(pa.int64())))
 
+                _, w0, keys = anchors(found, sums, window)
+                w0 = np.unique(w0)
+                key = keys[w0]
+                text, nothing = of_text[w0], pa.nulls(len(w0), pa.int32())
+                place = pa.array((w0 - found.bounds[text]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w0), 2, np.int32)), pa.array(key.view(np.int64)), piece.column(0).take(pa.array(text)), nothing, place, *[nothing] * 3, pa.nulls(len(w0), pa.list_(pa.int64()))], schema=schema)
+
                 edges = _runs(new_line)
                 rolled, bounds = line_sets(found, edges, shingle)
                 keep = np.flatnonzero(np.diff(edges) >= LINE_WORDS)
@@ -141,6 +181,50 @@ def _units(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(cut, UNITS)
 
 
+def _windows(docs: DataFrame, window: int) -> DataFrame:
+    """The anchors of docs (id, text, places) at the text's places: key, doc, w0 of the first window that has it, and the prints (of all words), b0 and b1 of this and the next windows that have it."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in W.pieces(batch, "text"):
+                data, places = W.column_bytes(piece.column(1))
+                found = W.words(data, places, W.BLANK_SEPARATED)
+                sums, lists = _sums(found.prints), piece.column(2)
+                text = np.repeat(np.arange(piece.num_rows), np.diff(lists.offsets.to_numpy()))
+                at = lists.flatten().to_numpy().astype(np.int64) + found.bounds[text]
+                asked = np.zeros(len(found.prints) + 1, bool)
+                asked[at[at < found.bounds[text + 1]]] = True  # rows of one id have their places together
+                w0, place, keys = anchors(found, sums, window)
+                w0, place = w0[asked[place]], place[asked[place]]
+                new = np.ones(len(w0), bool)
+                new[1:] = place[1:] != place[:-1]
+                edges = _runs(new).astype(np.int32)
+                first, text = w0[edges[:-1]], found.texts()[w0]
+                whole = _prints(sums, w0, w0 + window).view(np.int64), (found.starts[w0] - places[text]).astype(np.int32), (found.ends[w0 + window - 1] - places[text]).astype(np.int32)
+                own = text[edges[:-1]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[place[edges[:-1]]].view(np.int64)), piece.column(0).take(pa.array(own)), pa.array((first - found.bounds[own]).astype(np.int32))] + [pa.ListArray.from_arrays(pa.array(edges), pa.array(x)) for x in whole],
+                    ["key", "doc", "first", "prints", "b0", "b1"],
+                )
+
+    return docs.mapInArrow(cut, "key long, doc long, first int, prints array<long>, b0 array<int>, b1 array<int>")
+
+
+def _stretches(windows: DataFrame, window: int) -> DataFrame:
+    """For each anchor the words of its windows that a document of a smaller id has as well; they all overlap. The sort and the counts need no further shuffle."""
+    each = windows.repartition("key").select("key", "doc", "first", F.posexplode(F.arrays_zip("prints", "b0", "b1")).alias("at", "of"))
+    each = each.select("key", "doc", "first", (F.col("first") + F.col("at")).alias("w0"), "of.*")
+    kept = each.withColumn("kept", F.min("doc").over(Window.partitionBy("key", "prints"))).where("doc != kept")
+    span = [F.min("w0").alias("w0"), (F.max("w0") + F.lit(window)).alias("w1"), F.min("b0").alias("b0"), F.max("b1").alias("b1"), F.collect_set("kept").alias("kept")]
+    return kept.groupBy("key", "doc", "first").agg(*span).drop("key", "first")
+
+
+def _surplus(units: DataFrame) -> DataFrame:
+    """The units whose key stands in a document of a smaller id as well, with the smallest (kept)."""
+    repeated = units.groupBy("key").agg(F.min("doc").alias("kept"), F.max("doc").alias("last")).where("kept < last").select("key", "kept")
+    return units.join(repeated, "key").where("doc != kept")
+
+
 def _line_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """Key and sorted shingle set (binary) of the long lines of docs."""
 
@@ -213,14 +297,22 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     """
     scratch = Scratch(spark, "substrings")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    units = scratch.save(_units(rows, shingle), "units")
+    units = scratch.save(_units(rows, shingle, passage_words), "units")
 
     sentences = units.where("kind = 0").select("key", "doc", "seq", "w0", "w1", "b0", "b1")
-    repeated = sentences.groupBy("key").agg(F.min("doc").alias("kept"), F.max("doc").alias("last")).where("kept < last").select("key", "kept")
-    surplus = sentences.join(repeated, "key").where("doc != kept")
     island = F.col("seq") - F.dense_rank().over(Window.partitionBy("doc").orderBy("seq"))
-    span = [F.min("w0").alias("w0"), F.max("w1").alias("w1"), F.min("b0").alias("b0"), F.max("b1").alias("b1"), F.array_sort(F.collect_set("kept")).alias("kept_ids")]
-    exact = surplus.withColumn("island", island).groupBy("doc", "island").agg(*span).drop("island").where(F.col("w1") - F.col("w0") >= passage_words)
+    span = [F.min("w0").alias("w0"), F.max("w1").alias("w1"), F.min("b0").alias("b0"), F.max("b1").alias("b1")]
+    stretches = _surplus(sentences).withColumn("island", island).groupBy("doc", "island").agg(*span, F.collect_set("kept").alias("kept")).drop("island")
+
+    anchored = units.where("kind = 2").select("key", "doc", "w0")
+    shared = anchored.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
+    places = scratch.save(anchored.join(shared, "key", "left_semi").groupBy(F.col("doc").alias("id")).agg(F.collect_set("w0").alias("places")), "places")
+    windows = _stretches(_windows(rows.join(places, "id").select("id", "text", "places"), passage_words), passage_words)
+
+    before = Window.partitionBy("doc").orderBy("w0", "w1")
+    gap = F.col("w0") > F.max("w1").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    joined = stretches.unionByName(windows).withColumn("gap", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("island", F.sum("gap").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    exact = joined.groupBy("doc", "island").agg(*span, F.array_sort(F.array_distinct(F.flatten(F.collect_set("kept")))).alias("kept_ids")).drop("island").where(F.col("w1") - F.col("w0") >= passage_words)
     exact = scratch.save(exact, "exact")
 
     lines = units.where("kind = 1").select("key", "doc", "w0", "w1", "b0", "b1")
@@ -244,7 +336,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
 
     both = exact.withColumn("kind", F.lit("exact")).unionByName(near.withColumn("kind", F.lit("near")))
     result = scratch.save(both.select(F.col("doc").alias(id_col), "kind", F.col("w0").alias("first_word"), (F.col("w1") - F.col("w0")).alias("n_words"), F.col("b0").alias("first_byte"), (F.col("b1") - F.col("b0")).alias("n_bytes"), "kept_ids"), "result")
-    scratch.drop("units", "exact", "pairs", "ids", "sets", "links", "roots", "unsettled", "more")
+    scratch.drop("units", "places", "exact", "pairs", "ids", "sets", "links", "roots", "unsettled", "more")
     return result
 
 
