@@ -173,3 +173,14 @@ def test_decontamination(spark, make_docs, block_bytes):
     assert digest[2].items_sha256 == hashlib.sha256(b"").hexdigest()
     assert decontaminate.decontaminate(spark, make_docs([]), bench).count() == 0
     assert decontaminate.decontaminate(spark, make_docs(texts), bench.where("false")).agg({"n_hit": "sum"}).first()[0] == 0
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_near_items_do_not_depend_on_blocks(spark, make_docs, parts):
+    """Words that no text has are left out, items of few words are found, and other texts of a block change nothing."""
+    q = [f"q{i}" for i in range(30)]
+    items = [(1, " ".join(q)), (2, "few words"), (3, "nowhere seen")]
+    texts = ["x " + " ".join(q[3:20]), "words between few", "few", "q3 q4 q5 q6 q7", "y z"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.decontaminate(spark, make_docs(texts).repartition(parts), bench).collect()
+    assert {r.doc_id: r.near_items for r in found} == {0: [1], 1: [2], 2: [], 3: [], 4: []}

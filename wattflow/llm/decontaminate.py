@@ -4,7 +4,8 @@ The training texts are indexed in blocks: for each word of the benchmark a block
 where it stands, counted through all texts of the block. The index is stored in the shared folder. Each block answers
 every benchmark phrase by itself: it starts from the list of the phrase's rarest word, shifted by the word's offset in
 the phrase, and intersects it with the other shifted lists from rare to frequent until nothing is left. Proximity takes
-an item's rarest words and looks for places where all of them stand close together. Nothing is shuffled.
+an item's rarest words, by the counts of the whole index among those that occur, and looks for places where all of them
+stand close together. Only these counts are shuffled.
 """
 
 from __future__ import annotations
@@ -50,6 +51,15 @@ class Phrases:
         for row, phrase in zip(self.terms, owners, strict=True):
             row[: len(phrase)] = phrase
         self.lengths = (self.terms >= 0).sum(1)
+        self.rare: list[np.ndarray] = []
+
+    def choose_rare(self, index: DataFrame, near_terms: int) -> None:
+        """Each item's rarest words in the index, rarest first, of those that occur."""
+        counts = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n")).toArrow()  # at most the vocabulary
+        total = np.zeros(len(self.vocabulary), np.int64)
+        total[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
+        known = [own[total[own] > 0] for own in self.words_of]
+        self.rare = [own[np.argsort(total[own], kind="stable")][:near_terms] for own in known]
 
 
 def index_blocks(docs: DataFrame, vocabulary, id_col: str, text_col: str) -> DataFrame:
@@ -110,19 +120,18 @@ class Block:
         return found[(text >= 0) & (found + len(terms) <= self.bounds[np.minimum(text + 1, len(self.bounds) - 1)])]
 
     def near(self, terms: np.ndarray, span: int) -> np.ndarray:
-        """Places of the rarest word with all others at most span words away in the same text."""
-        order = terms[np.argsort(self.count[terms], kind="stable")]
-        found = self.at(order[0])
+        """Places of the first word with all others at most span words away in the same text."""
+        found = self.at(terms[0])
         text = np.searchsorted(self.bounds, found, "right") - 1
         low, high = np.maximum(found - span, self.bounds[text]), np.minimum(found + span, self.bounds[text + 1] - 1)
-        for term in order[1:]:
+        for term in terms[1:]:
             other = self.at(term)
             keep = np.searchsorted(other, low) < np.searchsorted(other, high, "right")
             found, low, high = found[keep], low[keep], high[keep]
         return found
 
 
-def matches(index: DataFrame, phrases, near_terms: int, near_span: int) -> DataFrame:
+def matches(index: DataFrame, phrases, near_span: int) -> DataFrame:
     """For each text: n_words, n_hit, hits (from, to: stretches of hit words), items and near_items (positions in the query block)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,9 +150,8 @@ def matches(index: DataFrame, phrases, near_terms: int, near_span: int) -> DataF
                         edges[place] += 1
                         edges[place + n] -= 1
                         items.setdefault(int(np.searchsorted(block.bounds, place, "right")) - 1, set()).update(asked.owners[p].tolist())
-                for i, own in enumerate(asked.words_of):
-                    rare = own[np.argsort(block.count[own], kind="stable")][:near_terms]
-                    if len(rare) == near_terms and block.count[rare[0]] > 0:
+                for i, rare in enumerate(asked.rare):
+                    if len(rare) and block.count[rare].min() > 0:
                         for place in block.near(rare, near_span):
                             near.setdefault(int(np.searchsorted(block.bounds, place, "right")) - 1, set()).add(i)
                 hit = np.cumsum(edges)[:-1] > 0
@@ -184,9 +192,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id
     for b in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).toArrow()  # at most about block_bytes
         phrases = Phrases(part, window)
-        vocabulary, sent = spark.sparkContext.broadcast(phrases.vocabulary), spark.sparkContext.broadcast(phrases)
+        vocabulary = spark.sparkContext.broadcast(phrases.vocabulary)
         index = scratch.save(index_blocks(numbered, vocabulary, "row" if blocks > 1 else "id", "text"), f"index-{b}")
-        answers.append(scratch.save(matches(index, sent, near_terms, near_span), f"matches-{b}"))
+        phrases.choose_rare(index, near_terms)
+        answers.append(scratch.save(matches(index, spark.sparkContext.broadcast(phrases), near_span), f"matches-{b}"))
         scratch.drop(f"index-{b}")
     if blocks == 1:
         return answers[0].withColumnRenamed("id", id_col)
