@@ -7,8 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from wattflow.jobs import queries
 from wattflow.jobs.oracle import ORACLE_SQL
 from wattflow.jobs.queries import QUERIES
+from wattflow.operators import train
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
@@ -45,3 +47,14 @@ def test_other_queries_run(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_the_saved_model_is_learned_from_all_rows(spark):
+    learned = sorted(map(tuple, queries.q_train_batched(spark, DATA).select("class", "clause", "state").collect()))
+    states, _ = queries._saved(spark, DATA, "training")
+    assert sorted(map(tuple, states.select("class", "clause", "state").collect())) == learned
+
+
+def test_the_registered_training_is_not_one_task(spark, monkeypatch):
+    monkeypatch.setattr(train, "train_grouped", None)
+    assert QUERIES["train_and_evaluate"](spark, DATA).count() > 0

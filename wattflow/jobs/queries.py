@@ -272,12 +272,12 @@ def q_train_batched(spark, sf_dir):
 
 
 def q_train_and_evaluate(spark, sf_dir):
-    return train_and_evaluate(_vectors(spark, sf_dir), "vec_id", 10, PARAMS, n_bits=1)
+    return train_and_evaluate(_vectors(spark, sf_dir), "vec_id", 10, PARAMS, n_bits=1, exact=False)
 
 
 def _saved(spark, sf_dir, form):
     scratch = Scratch(spark, "model")
-    states = scratch.save(q_train_grouped(spark, sf_dir).where("fold = 0").drop("fold"), "states")
+    states = scratch.save(q_train_batched(spark, sf_dir), "states")
     meta = Meta(10, 64, PARAMS.n_clause, PARAMS.n_state)
     save_model(states, meta, f"{scratch.path}/{form}", form)
     return load_model(spark, f"{scratch.path}/{form}")
