@@ -52,7 +52,6 @@ def components_of(links, nodes):
 def test_near_duplicates(spark, make_docs, monkeypatch, few):
     monkeypatch.setattr(jaccard, "FEW", few)
     monkeypatch.setattr(jaccard, "BLOCK", 3 if few == 1 else 512)
-    monkeypatch.setattr(jaccard, "GROUP", 4 if few == 1 else 8192)
     texts = copies(few)
     sets = [shingles(t) for t in texts]
     links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
@@ -69,6 +68,18 @@ def test_near_duplicates_of_odd_tables(spark, make_docs):
     assert jaccard.near_duplicates(spark, make_docs([])).count() == 0
 
 
+def test_rows_without_an_id_are_bridges(spark, make_docs):
+    """1 and 2 are linked only through a text that no row with an id has; rows of one id are told apart."""
+    own = [f"w{i}" for i in range(64)]
+    a, n, b = " ".join(own), " ".join([*own[4:], "x1", "x2", "x3", "x4"]), " ".join([*own[8:], *(f"x{i}" for i in range(1, 9))])
+    sets = [shingles(t) for t in (a, n, b)]
+    link = lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    assert link(0, 1) and link(1, 2) and not link(0, 2)
+    rows = jaccard.near_duplicates(spark, make_docs([(1, a), (None, n), (None, n), (2, b), (1, "quite another"), (None, "alone")])).collect()
+    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in rows) == [(-1, 1, -1), (-1, 60, 1), (-1, 60, 1), (1, 1, 1), (1, 60, 1), (2, 60, 1)]
+    assert len({r.component_key for r in rows}) == 3 and len({(r.doc_id, r.text_key) for r in rows}) == 5
+
+
 def test_words_are_those_of_the_pattern():
     rnd = random.Random(0)
     for table, pattern in ((W.BLANK_SEPARATED, rb"[^\x20\x09-\x0D]+"), (W.ALPHANUMERIC, rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")):

@@ -14,14 +14,21 @@ def _to_least(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each edge (u, v) leads from a leaf of its own to a centre that is no leaf."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("leaf")), F.struct(F.col("v").alias("node"), F.lit(0).alias("leaf")))).alias("e")).select("e.*")
+    wrong = ends.groupBy("node").agg(F.sum("leaf").alias("leaves"), F.min("leaf").alias("low")).where("leaves > 1 or leaves = 1 and low = 0")
+    return wrong.isEmpty()
+
+
 def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """node, root (the component's smallest node) for each node of edges (a, b: long). Loops and repeated edges are allowed; edges with a null are left out.
+    """node, root (the component's smallest node) for each node of edges (a, b: long; best a saved table). Loops and repeated edges are allowed; edges with a null are left out.
 
     Every round is written to the shared folder. A star with very many points is never gathered in one place: its
     centre's minimum is a combined aggregate and the join back to its points can be split.
     """
     scratch = Scratch(spark, "components")
-    nodes = scratch.save(edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "round-0")
+    nodes = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now, n = nodes.where("u != v"), 0
     loops = nodes.where("u = v").select(F.col("u").alias("node"))
     while True:
@@ -33,9 +40,7 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         now = scratch.save(stars, f"round-{n}")
         if n > 1:
             scratch.drop(f"round-{n - 1}")
-        counts = now.agg(F.count("*").alias("edges"), F.count_distinct("u").alias("leaves")).first()
-        centres = now.select(F.col("v").alias("u")).distinct()
-        if counts["edges"] == counts["leaves"] and now.join(centres, "u", "left_semi").isEmpty():
-            break  # each edge leads from a leaf of its own to a centre that is no leaf: a star for each component
+        if _are_stars(now):
+            break
     roots = now.select(F.col("v").alias("node")).unionByName(loops)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.distinct().join(now.select(F.col("u").alias("node")), "node", "left_anti").select("node", F.col("node").alias("root")))

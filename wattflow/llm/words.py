@@ -110,7 +110,7 @@ def windows(found: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     w, size = found.prints, np.diff(found.bounds)
     total = len(w)
     rolled = np.zeros(total, np.uint64)
-    for k in range(n):
+    for k in range(min(n, total)):
         rolled[: total - k] += w[k:] * _power(_BASE, n + 1)[k + 1]
     rolled = mix(rolled + np.uint64(n))
     inside = np.arange(total) - np.repeat(found.bounds[:-1], size) <= np.repeat(size, size) - n
