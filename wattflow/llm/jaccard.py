@@ -466,25 +466,8 @@ def _compare(tiles: DataFrame, percent: int) -> DataFrame:
     return tiles.groupBy(*TILE).applyInArrow(lambda table: compare_sets(table, percent), "a long, b long")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row for each row of docs: id, n_shingles, component_id (the smallest id reachable by links).
-
-    Words are told apart by blanks, A-Z in lower case. A text of fewer words than a shingle has one of all its words.
-    Null texts and texts without words have no shingles, link with nothing and are their own component. Rows without an
-    id take part in links but name no component unless all its rows lack one. Ids are integers; rows with equal ids
-    are answered each. A text of any length is one row of one task. Other columns are not read. Two more columns tell
-    rows of one id apart: text_key (xxhash64 of the text) and component_key (equal where rows are linked; null without
-    shingles).
-    """
-    scratch = Scratch(spark, "jaccard")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
-    survey = scratch.save(_survey(rows, shingle), "survey")
-    members = survey.where("kind = 0").select("id", "n", F.col("code").alias("class"), "key")
-    top = survey.where("kind = 1").groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(FREQUENT).select("code").toArrow()
-    frequent = spark.sparkContext.broadcast(np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64)))
-
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = scratch.save(_meet(_postings(rows, frequent, shingle, percent, buckets), percent), "found")
+def linked_roots(spark: SparkSession, scratch: Scratch, found: DataFrame, texts, percent: int) -> DataFrame:
+    """node, root for each class that links with another, of the classes that found (_meet's rows, saved) brings together. texts.built gives the sets of classes."""
     many = found.where("kind > 0").select(F.col("a").alias("code"), F.col("b").alias("class"), F.col("n_b").alias("n"), (F.col("kind") == 2).alias("hot"))
     seeds = [F.min_by(F.struct("class", "n"), F.struct(F.xxhash64(F.lit(k), "class"), "class")) for k in range(3)]
     leaders = many.groupBy("hot", "code").agg(F.array_distinct(F.array(*seeds)).alias("leaders"))
@@ -493,7 +476,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     starred = starred.select("class", "n", F.explode("leaders").alias("l")).where(f"l.class != class and 100 * least(n, l.n) >= {int(percent)} * greatest(n, l.n)")
     pairs = scratch.save(found.where("kind = 0").select("a", "b").unionByName(starred.select(F.least("class", "l.class").alias("a"), F.greatest("class", "l.class").alias("b"))).distinct(), "pairs")
 
-    texts = _Texts(scratch, rows, members, shingle)
     signs = scratch.save(texts.built(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "paired", {"sign": wide_signature}), "signs")
     possible = scratch.save(_possible(pairs, signs, percent).distinct(), "possible")
     scratch.drop("signs", "paired", "pairs")
@@ -531,11 +513,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
             sets = texts.built(close.select("class").distinct(), "in-close", SET).drop("n")
             links = scratch.save(links.unionByName(_compare(_tiles(close).join(sets, "class"), percent)), "all-links")
     roots = scratch.save(connected_components(spark, links), "roots")
+    scratch.drop("pairs", "possible", "possible-groups", "possible-sizes", "small", "large", "tiles", "in-groups", "tile-links", "first-roots", "links", "settled", "open-codes", "unsettled", "in-tiles", "near", "close", "in-close", "all-links")
+    return roots
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row for each row of docs: id, n_shingles, component_id (the smallest id reachable by links).
+
+    Words are told apart by blanks, A-Z in lower case. A text of fewer words than a shingle has one of all its words.
+    Null texts and texts without words have no shingles, link with nothing and are their own component. Rows without an
+    id take part in links but name no component unless all its rows lack one. Ids are integers; rows with equal ids
+    are answered each. A text of any length is one row of one task. Other columns are not read. Two more columns tell
+    rows of one id apart: text_key (xxhash64 of the text) and component_key (equal where rows are linked; null without
+    shingles).
+    """
+    scratch = Scratch(spark, "jaccard")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
+    survey = scratch.save(_survey(rows, shingle), "survey")
+    members = survey.where("kind = 0").select("id", "n", F.col("code").alias("class"), "key")
+    top = survey.where("kind = 1").groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(FREQUENT).select("code").toArrow()
+    frequent = spark.sparkContext.broadcast(np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64)))
+
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = scratch.save(_meet(_postings(rows, frequent, shingle, percent, buckets), percent), "found")
+    texts = _Texts(scratch, rows, members, shingle)
+    roots = linked_roots(spark, scratch, found, texts, percent)
 
     named = texts.first.join(_near_by(roots.withColumnRenamed("node", "class")), "class", "left").withColumn("root", F.coalesce("root", "class"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = named.join(names, "root").select("class", "component_id", "root")
     answer = members.join(of_class, "class", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("key").alias("text_key"), F.col("root").alias("component_key"))
     result = scratch.save(answer, "result")
-    scratch.drop("survey", "found", "first", "possible", "possible-groups", "possible-sizes", "small", "large", "tiles", "in-groups", "tile-links", "first-roots", "links", "settled", "open-codes", "unsettled", "in-tiles", "near", "close", "in-close", "all-links", "roots")
+    scratch.drop("survey", "found", "first", "roots")
     return result
