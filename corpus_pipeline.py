@@ -36,14 +36,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near copies; of rows with equal ids one."""
+    """The document with the smallest id of each component of near copies. Of rows with equal ids one of each component stays, and of those without words one of each text."""
     found = Scratch(spark, "copies").save(near_duplicates(spark, docs), "components")
     once = _without(spark, docs, found.where("component_id != doc_id").select("doc_id"), "copies")
-    repeated = found.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    own = found.where("component_id = doc_id")
+    repeated = own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if repeated.isEmpty():
         return once
     repeated = Scratch(spark, "copies").save(repeated, "repeated")
-    return _without(spark, once, repeated, "copies").unionByName(once.join(repeated.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*once.columns))
+    kept = own.join(repeated.hint("merge"), "doc_id", "left_semi").groupBy("doc_id", F.coalesce("component_key", "text_key")).agg(F.min("text_key").alias("kept_key")).select(F.col("doc_id").alias("kept_id"), "kept_key")
+    several = once.join(repeated.hint("merge"), "doc_id", "left_semi")
+    chosen = several.join(kept.hint("merge"), (several["doc_id"] == kept["kept_id"]) & (F.xxhash64(several["text"]) == kept["kept_key"]), "left_semi")
+    return _without(spark, once, repeated, "copies").unionByName(chosen.dropDuplicates(["doc_id", "text"]).select(*once.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
