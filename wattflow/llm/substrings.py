@@ -31,7 +31,7 @@ LINE_WORDS = 20
 PASSAGE_WORDS = 20
 #: Words of an anchor; of a window's anchors one at least is chosen, in all one place in seven.
 ANCHOR = 8
-#: Places where passages may be, by document, are broadcast up to this number, else joined by a shuffle.
+#: Spans and anchors where passages may be, by document, are broadcast up to this number in all, else joined by a shuffle of the texts.
 BROADCAST_PLACES = 4_000_000
 #: Passages to be cut out are broadcast up to this number, else joined by a shuffle.
 BROADCAST_PASSAGES = 500_000
@@ -326,7 +326,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
 
     shared = scratch.save(_shared(_anchors(rows, passage_words, buckets)), "shared")
     places = scratch.save(_places(shared, passage_words), "places")
-    few = shared.count() <= BROADCAST_PLACES
+    held = places.agg(F.sum(F.size("spans") + F.size("asked"))).first()[0] or 0
+    few = held <= BROADCAST_PLACES
     cut = scratch.save(_windows(rows.join(F.broadcast(places) if few else places.hint("merge"), "id"), passage_words), "windows")
     columns = ["doc", "w0", "w1", "b0", "b1", "kept"]
     spans = cut.where("key is null").select(*columns).unionByName(_stretches(cut.where("key is not null").select("key", "doc", "w0", "prints", "starts", "stops"), passage_words).select(*columns))
