@@ -76,3 +76,13 @@ def test_scores_are_strict_and_null_without_cases(spark):
     assert rows["a"].recall == pytest.approx(66.6667, abs=1e-3) and rows["b"].precision is None and rows["b"].recall is None
     checks = {r.channel: r.conforms for r in painting.check_submission(sub.where("not (channel = 'a' and t = 2)"), truth).collect()}
     assert checks == {"a": False, "b": True}
+
+
+def test_a_long_interval_does_not_make_short_ones_meet(spark):
+    """Of 500 + 500 short intervals and one long one each side, few pairs are compared, and matches are those of a plain search."""
+    main = [(1, i, 40 * i, 40 * i + 6) for i in range(1, 501)] + [(1, 501, 0, 21_000)]
+    app = [(1, "x", i, 40 * i + 13 * (i % 3), 40 * i + 13 * (i % 3) + 5) for i in range(1, 501)] + [(1, "x", 501, 5, 20_000)]
+    m, a = spark.createDataFrame(main, "building int, edge_no long, start long, `end` long"), spark.createDataFrame(app, "building int, channel string, edge_no long, start long, `end` long")
+    expected = {e: min(n for _, n, s, t in main if start - t <= 4 and s - end <= 4) for _, _, e, start, end in app}
+    assert {r.edge_no: r.main_edge for r in matching.match_edges(m, a).collect()} == expected
+    assert matching.candidates(m, a).count() < 10 * (len(main) + len(app))

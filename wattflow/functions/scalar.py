@@ -16,12 +16,18 @@ WORD_BITS = 63
 BIT_COUNTS = (1, 2, 4, 8)
 
 
+def _erf_t(x: Column) -> Column:
+    return 1 / (1 + ERF_P * F.abs(x))
+
+
+def _erf_of(x: Column, t: Column) -> Column:
+    poly = reduce(lambda acc, a: (acc + F.lit(a)) * t, reversed(ERF_A), F.lit(0.0))
+    return F.when(x >= 0, 1.0).otherwise(-1.0) * (1 - poly * F.exp(-x * x))
+
+
 def erf(x: Column) -> Column:
     """The error function to 1.5e-7, odd by construction."""
-    y = F.abs(x)
-    t = 1 / (1 + ERF_P * y)
-    poly = reduce(lambda acc, a: (acc + F.lit(a)) * t, reversed(ERF_A), F.lit(0.0))
-    return F.when(x >= 0, 1.0).otherwise(-1.0) * (1 - poly * F.exp(-y * y))
+    return _erf_of(x, _erf_t(x))
 
 
 def norm_cdf(x: Column, mean: Column | float = 0.0, std: Column | float = 1.0) -> Column:
@@ -51,11 +57,15 @@ def booleanize_array(features: Column, n_bits: int, mean: float | list[float], s
     """Bits of all features in order: standardised by one mean and deviation or one each, through the normal law, quantized."""
     if isinstance(mean, list) != isinstance(std, list):
         raise ValueError("mean and std must both be numbers or both be lists")
+    root = F.lit(2.0**0.5)
     if isinstance(mean, list):
-        scaled = F.zip_with(F.zip_with(features, F.array(*map(F.lit, mean)), lambda x, m: x - m), F.array(*map(F.lit, std)), lambda x, s: norm_cdf(x / s))
+        scaled = F.zip_with(F.zip_with(features, F.array(*map(F.lit, mean)), lambda x, m: x - m), F.array(*map(F.lit, std)), lambda x, s: x / s / root)
     else:
-        scaled = F.transform(features, lambda x: norm_cdf(x, mean, std))
-    return F.flatten(F.transform(scaled, lambda x: to_bits(quantize(x, n_bits), n_bits)))
+        scaled = F.transform(features, lambda x: (x - mean) / (std * root))
+    # A lambda shares no common terms, so what is used more than once is an array of its own.
+    chances = F.zip_with(scaled, F.transform(scaled, _erf_t), lambda z, t: 0.5 * (1 + _erf_of(z, t)))
+    whole = F.transform(chances, lambda x: quantize(x, n_bits))
+    return F.flatten(F.transform(whole, lambda v: to_bits(v, n_bits)))
 
 
 def pack_bits(bits: Column, n: int) -> Column:

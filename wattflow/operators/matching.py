@@ -27,24 +27,32 @@ def _cells(df: DataFrame, start: Column, end: Column, width: int, grids: Column)
     return with_grid.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("_s") / size), F.floor(F.col("_e") / size)))).drop("_s", "_e")
 
 
-def match_edges(main: DataFrame, app: DataFrame, tolerance: int = TOLERANCE, width: int | None = None) -> DataFrame:
-    """building, channel, edge_no, main_edge: for each appliance edge the first main edge (by edge_no) that it overlaps.
+def candidates(main: DataFrame, app: DataFrame, tolerance: int = TOLERANCE, width: int | None = None) -> DataFrame:
+    """building, channel, edge_no, main_edge and both intervals (m_start, m_end, a_start, a_end) of all pairs that share a bucket of time, those that overlap among them.
 
     Intervals are closed and widened by tolerance at both ends; edges without an end have no interval. Both sides are
-    cut into buckets of time and joined on (building, grid, bucket): an interval lies in few buckets of the grid that
-    suits its length, and meets shorter and longer ones there or on their grids, so that a very long interval neither
-    multiplies nor meets everything.
+    cut into buckets of time, an interval in few buckets of the grid that suits its length. Two joins on (building,
+    grid, bucket) find all pairs: main edges on their own grid meet appliance edges of the same or a finer one, which
+    are lifted to it, and appliance edges on their own grid meet main edges of a finer one. So a very long interval
+    neither multiplies nor makes short ones meet each other on its grid.
     """
     width = width or max(1, 4 * tolerance)
     m = main.where("end is not null").select("building", F.col("edge_no").alias("main_edge"), F.col("start").alias("m_start"), F.col("end").alias("m_end"))
     a = app.where("end is not null").select("building", "channel", "edge_no", F.col("start").alias("a_start"), F.col("end").alias("a_end"))
-    m = m.withColumn("m_grid", _grids(F.col("m_start"), F.col("m_end"), width))
-    a = a.withColumn("a_grid", _grids(F.col("a_start") - 2 * tolerance, F.col("a_end") + 2 * tolerance, width))
-    grids = m.select("building", F.col("m_grid").alias("g")).unionByName(a.select("building", F.col("a_grid").alias("g"))).groupBy("building").agg(F.sort_array(F.collect_set("g")).alias("grids"))
-    coarser = lambda own: F.filter("grids", lambda g: g >= own)
-    left = _cells(m.join(grids, "building"), F.col("m_start"), F.col("m_end"), width, coarser(F.col("m_grid"))).drop("grids")
-    right = _cells(a.join(grids, "building"), F.col("a_start") - 2 * tolerance, F.col("a_end") + 2 * tolerance, width, coarser(F.col("a_grid"))).drop("grids")
-    met = left.join(right, ["building", "grid", "bucket"]).where((F.col("grid") == F.greatest("m_grid", "a_grid")) & overlaps(F.col("m_start"), F.col("m_end"), F.col("a_start"), F.col("a_end"), tolerance))
+    m = m.withColumn("own", _grids(F.col("m_start"), F.col("m_end"), width))
+    a = a.withColumn("own", _grids(F.col("a_start") - 2 * tolerance, F.col("a_end") + 2 * tolerance, width))
+    used = lambda df, name: df.groupBy("building").agg(F.collect_set("own").alias(name))
+    m_cells = lambda df, grids: _cells(df, F.col("m_start"), F.col("m_end"), width, grids).drop("own", "grids")
+    a_cells = lambda df, grids: _cells(df, F.col("a_start") - 2 * tolerance, F.col("a_end") + 2 * tolerance, width, grids).drop("own", "grids")
+    alone = F.array("own")
+    coarse = m_cells(m, alone).join(a_cells(a.join(used(m, "grids"), "building"), F.filter("grids", lambda g: g >= F.col("own"))), ["building", "grid", "bucket"])
+    fine = m_cells(m.join(used(a, "grids"), "building"), F.filter("grids", lambda g: g > F.col("own"))).join(a_cells(a, alone), ["building", "grid", "bucket"])
+    return coarse.unionByName(fine)
+
+
+def match_edges(main: DataFrame, app: DataFrame, tolerance: int = TOLERANCE, width: int | None = None) -> DataFrame:
+    """building, channel, edge_no, main_edge: for each appliance edge the first main edge (by edge_no) that it overlaps."""
+    met = candidates(main, app, tolerance, width).where(overlaps(F.col("m_start"), F.col("m_end"), F.col("a_start"), F.col("a_end"), tolerance))
     return met.groupBy("building", "channel", "edge_no").agg(F.min("main_edge").alias("main_edge"))
 
 
