@@ -15,7 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -177,7 +177,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id
     """One row for each row of docs: id, n_words, n_hit, hits, items (ids of items with occurring windows), near_items.
 
     Null and empty texts have no words and no hits. Items without words or without an id match nothing; items with
-    equal ids count as one. Rows with equal ids are answered each. hits counts words from 0, to is exclusive.
+    equal ids count as one. Rows with equal ids are answered each. hits counts words from 0, to is exclusive; stretches
+    ascend and do not touch, whatever block_bytes is. A text of any length is one row of one task.
     """
     if window < 1:
         raise ValueError("a window has one word at least")
@@ -199,11 +200,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id
         scratch.drop(f"index-{b}")
     if blocks == 1:
         return answers[0].withColumnRenamed("id", id_col)
-    all_rows = reduce(DataFrame.unionByName, answers)
-    places = all_rows.select("id", F.explode("hits").alias("h")).select("id", F.explode(F.sequence("h.from", F.col("h.to") - 1)).alias("w")).distinct().groupBy("id").agg(F.count("*").alias("n"))
-    joined = all_rows.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("near_items"))).alias("near_items"))
-    full = joined.join(places, "id", "left").join(numbered.select(F.col("row").alias("id"), F.col("id").alias("doc")), "id")
-    return full.select(F.col("doc").alias(id_col), "n_words", F.coalesce("n", F.lit(0)).alias("n_hit"), "hits", "items", "near_items")
+    all_rows = scratch.save(reduce(DataFrame.unionByName, answers), "all-matches")
+    # The stretches of all query blocks, as one where they touch or overlap.
+    order = Window.partitionBy("id").orderBy("from", "to")
+    spans = all_rows.select("id", F.explode("hits").alias("h")).select("id", "h.from", "h.to")
+    gap = F.col("from") > F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = spans.withColumn("gap", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("island", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = islands.groupBy("id", "island").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    merged = whole.groupBy("id").agg(F.sum(F.col("to") - F.col("from")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("from", "to"))).alias("hits"))
+    lists = all_rows.groupBy("id").agg(F.max("n_words").alias("n_words"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(x)))).alias(x) for x in ("items", "near_items")))
+    full = lists.join(merged, "id", "left").join(numbered.select(F.col("row").alias("id"), F.col("id").alias("doc")), "id")
+    nothing = F.array().cast(all_rows.schema["hits"].dataType)
+    return full.select(F.col("doc").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("hits", nothing).alias("hits"), "items", "near_items")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
