@@ -264,7 +264,7 @@ def _lines(docs: DataFrame, shingle: int, least: int, buckets: int) -> DataFrame
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in W.pieces(batch, "text", 16_000_000):
+            for piece in W.pieces(batch, "text", 8_000_000):
                 x = _LineSets(piece.column(1), shingle, least)
                 first, start = x.found.bounds[x.text], x.places[x.text]
                 spans = [x.w0 - first, x.w1 - first, x.found.starts[x.w0] - start, x.found.ends[x.w1 - 1] - start]
