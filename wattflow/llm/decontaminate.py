@@ -70,7 +70,7 @@ def index_blocks(docs: DataFrame, vocabulary, id_col: str, text_col: str) -> Dat
         hint = np.zeros(1 << 16, bool)  # by the low bits: most words are none of the benchmark's
         hint[(known & np.uint64(0xFFFF)).astype(np.int64)] = True
         for batch in batches:
-            for piece in W.pieces(batch, "text"):
+            for piece in W.pieces(batch, "text", 4_000_000):
                 found = W.words(*W.column_bytes(piece.column(1)), W.ALPHANUMERIC)
                 place = np.flatnonzero(hint[(found.prints & np.uint64(0xFFFF)).astype(np.int64)])
                 term = np.searchsorted(known, found.prints[place])

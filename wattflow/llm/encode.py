@@ -23,7 +23,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 import public_tokenizers
 from tokenizers import Tokenizer
 
-CACHE_SEGMENTS = 700_000
+CACHE_SEGMENTS = 500_000
 #: Longer segments are encoded but not kept.
 KEPT_LENGTH = 64
 #: Characters that Python takes for blanks and the tokenizers' patterns do not.

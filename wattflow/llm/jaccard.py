@@ -36,7 +36,7 @@ FEW = 8
 BLOCK = 512
 #: Ids are broadcast up to this number, else joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-POSTINGS_LOT = 1_000_000
+POSTINGS_LOT = 500_000
 #: Bits of a signature for sets of much the same size.
 BITS = 2048
 #: Bits for each shingle of a signature that is shuffled, made up to a power of two. Sets of a similarity under 0.6 rarely pass.
