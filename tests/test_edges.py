@@ -91,3 +91,23 @@ def test_stream_equals_batch(spark, tmp_path, delay):
     streamed = drain(spark, stream_transitions(stream, 80, 15, delay=delay), "test").where("channel = 'main'").collect()
     key = lambda r: (r.edge_no, round(r.transition, 6), r.duration, r.start, r.end)
     assert sorted(map(key, streamed)) == sorted(map(key, batch)) and batch
+
+
+def test_resample_equals_a_plain_version(spark):
+    """Cells of all days, means of several readings in a cell, and 0 in empty cells between a series' first and last."""
+    from collections import defaultdict
+
+    from wattflow.operators import prepare
+
+    rows = [(1, "a", 5, 10.0), (1, "a", 6, 20.0), (1, "a", 11, 40.0), (1, "a", 40, 7.0), (1, "b", 86_400 * 2, 1.0), (1, "b", 86_400 * 2 + 13, 3.0), (2, "a", 0, 2.5)]
+    cells = defaultdict(list)
+    for building, channel, t, watts in rows:
+        cells[building, channel, t // 6 * 6].append(watts)
+    expected = {}
+    for key in {k[:2] for k in cells}:
+        own = [t for b, c, t in cells if (b, c) == key]
+        for t in range(min(own), max(own) + 1, 6):
+            found = cells.get((*key, t), [0.0])
+            expected[(*key, t)] = sum(found) / len(found)
+    got = prepare.resample(spark.createDataFrame(rows, "building int, channel string, t long, watts double"), 6).collect()
+    assert {(r.building, r.channel, r.t): r.watts for r in got} == expected and len(got) == len(expected)

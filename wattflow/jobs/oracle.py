@@ -186,9 +186,6 @@ ORACLE_SQL = {
       UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(hits) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM f""",
     "stream_transitions": f"""WITH {EDGES} SELECT building, channel, edge_no, round(transition, 6) AS transition, duration, start, "end" FROM edges""",
     "stream_predict": f"{PREDICTED} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, pred FROM predicted",
-    "resample_6s": f"""WITH {READINGS}, cells AS (SELECT building, channel, t // 6 * 6 AS t, avg(watts) AS watts FROM readings WHERE t < 1704067200 + 86400 GROUP BY ALL),
-      grid AS (SELECT building, channel, unnest(range(a, b + 1, 6)) AS t FROM (SELECT building, channel, min(t) AS a, max(t) AS b FROM cells GROUP BY ALL))
-      SELECT building, channel, t, round(coalesce(watts, 0), 6) AS watts FROM grid LEFT JOIN cells USING (building, channel, t)""",
     "stream_resampled": f"WITH {READINGS} SELECT building, channel, t // 3600 * 3600 AS t, round(avg(watts), 6) AS watts FROM readings GROUP BY ALL",
     "pair_shape": f"""{PAIRS} SELECT building, channel, rise_no, round(transition, 6) AS height_w, "end" - start AS duration_s FROM pairs""",
 }

@@ -321,8 +321,7 @@ def q_stream_predict(spark, sf_dir):
 
 
 def q_resample_6s(spark, sf_dir):
-    first = readings(spark, sf_dir).where("t < 1704067200 + 86400")
-    return _rounded(prepare.resample(first, 6), "watts")
+    return _rounded(prepare.resample(readings(spark, sf_dir), 6), "watts")
 
 
 def q_stream_resampled(spark, sf_dir):
