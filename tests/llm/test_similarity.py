@@ -98,6 +98,9 @@ def test_components(spark):
     nodes = {x for e in edges for x in e}
     got = {r.node: r.root for r in connected_components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == components_of(edges, nodes)
+    for lot in (1, 3, 20):  # forests of several lots, joined by rounds of stars
+        found = connected_components(spark, spark.createDataFrame(edges, "a long, b long"), lot_edges=lot).collect()
+        assert len(found) == len(nodes) and {r.node: r.root for r in found} == components_of(edges, nodes)
     assert connected_components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
 
 

@@ -252,7 +252,7 @@ def _meet(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in ids (saved, distinct): by broadcast where there are few, else by a shuffle."""
+    """The rows of docs whose id is in ids (saved): by broadcast where there are few, else by a shuffle."""
     few = ids.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "id", "left_semi")
 
@@ -296,7 +296,7 @@ class _Texts:
     def built(self, classes: DataFrame, name: str, made: dict) -> DataFrame:
         """_built of a text of each of the classes (distinct). A class that two rows of one id have stands twice, to no effect."""
         wanted = self.scratch.save(classes.join(self.first, "class"), name)
-        found = _built(_with_ids(self.rows, wanted.where("least is not null").select(F.col("least").alias("id")).distinct()), self.shingle, made)
+        found = _built(_with_ids(self.rows, wanted.where("least is not null").select(F.col("least").alias("id"))), self.shingle, made)
         if self.nameless:
             without = _built(self.rows.where("id is null"), self.shingle, made).join(wanted.where("least is null").select("class"), "class", "left_semi")
             found = found.unionByName(without.dropDuplicates(["class"]))
@@ -477,7 +477,7 @@ def linked_roots(spark: SparkSession, scratch: Scratch, found: DataFrame, texts,
     pairs = scratch.save(found.where("kind = 0").select("a", "b").unionByName(starred.select(F.least("class", "l.class").alias("a"), F.greatest("class", "l.class").alias("b"))).distinct(), "pairs")
 
     signs = scratch.save(texts.built(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "paired", {"sign": wide_signature}), "signs")
-    possible = scratch.save(_possible(pairs, signs, percent).distinct(), "possible")
+    possible = scratch.save(_possible(pairs, signs, percent), "possible")
     scratch.drop("signs", "paired", "pairs")
     groups = scratch.save(connected_components(spark, possible).select(F.col("node").alias("class"), F.col("root").alias("code")), "possible-groups")
     sizes = scratch.save(groups.groupBy("code").agg(F.count("*").alias("size")), "possible-sizes")
@@ -506,7 +506,7 @@ def linked_roots(spark: SparkSession, scratch: Scratch, found: DataFrame, texts,
     unsettled = scratch.save(joined.join(_near_by(open_codes), "code", "left_semi"), "unsettled")
     if not unsettled.isEmpty():
         wide = texts.built(unsettled.select("class").distinct(), "in-tiles", {"wide": wide_signature})
-        near = scratch.save(_near_tiles(_tiles(unsettled).join(wide, "class"), percent).distinct(), "near")
+        near = scratch.save(_near_tiles(_tiles(unsettled).join(wide, "class"), percent), "near")
         if not near.isEmpty():
             close = connected_components(spark, near).select(F.col("node").alias("class"), F.col("root").alias("code"))
             close = scratch.save(close.join(unsettled.select("class", "n").distinct(), "class").withColumn("root", F.col("class")), "close")

@@ -306,7 +306,7 @@ class _LineTexts:
                     data = [[f(x.values[a:b]).tobytes() for a, b in zip(x.bounds[:-1], x.bounds[1:], strict=True)] for f in made.values()]
                     yield pa.RecordBatch.from_arrays([pa.array(x.keys), piece.column(0).take(pa.array(x.text)), pa.array(np.diff(x.bounds)), *(pa.array(y, pa.binary()) for y in data)], ["class", "id", "n", *made])
 
-        found = _with_ids(self.rows, wanted.select("id").distinct()).select("id", "text").mapInArrow(build, "class long, id long, n long" + "".join(f", {x} binary" for x in made))
+        found = _with_ids(self.rows, wanted.select("id")).select("id", "text").mapInArrow(build, "class long, id long, n long" + "".join(f", {x} binary" for x in made))
         return found.join(_near_by(wanted), ["class", "id"], "left_semi").drop("id")  # a line that stands twice in a text comes twice, to no effect
 
 
