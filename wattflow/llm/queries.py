@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate, digest
 from .jaccard import near_duplicates
+from .oracle import ORACLE_SQL as ORACLE_SQL
 from .packing import pack
 from .quality import quality_rules
 from .sharding import place
@@ -61,7 +62,7 @@ def op2_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return near_duplicates(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {
@@ -76,5 +77,3 @@ QUERIES = {
     "op9_positional_index": op9_positional_index,
     "op10_lookup_table": op10_lookup_table,
 }
-
-ORACLE_SQL: dict[str, str] = {}
