@@ -124,7 +124,7 @@ def windows(found: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return rolled[inside], np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 2_000_000):
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1_000_000):
     """Slices of a batch whose texts have together at most so many bytes (or one text)."""
     data = batch.column(batch.schema.get_field_index(column))
     places = column_bytes(data)[1]
