@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "benchmark"):
+    for table in ("documents", "pages", "benchmark", "conversations", "embeddings"):
         con.execute(f"create view {table} as select * from '{DATA}/{table}.parquet'")
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)

@@ -77,4 +77,71 @@ SELECT doc_id, len(shingles)::BIGINT AS n_shingles, coalesce(root, doc_id) AS co
 FROM sets LEFT JOIN classes ON classes.s = list_sort(sets.shingles) AND len(sets.shingles) > 0 LEFT JOIN roots USING (node)
 """
 
-ORACLE_SQL = {"op5_warc_normaliser": _OP5, "op9_positional_index": _OP9, "op3_ngram_jaccard_join": _OP3}
+#: Integer parts, the first parts of the least ids, and rounds of nearest entries and floors of means.
+_OP13_HEAD = """
+WITH whole AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), part AS MATERIALIZED (
+  SELECT vec_id, label, p, list_slice(v, p * len(v) // 8 + 1, (p + 1) * len(v) // 8) AS x FROM whole, (SELECT unnest(range(8)) AS p)
+), book_0 AS MATERIALIZED (
+  SELECT p, place - 1 AS e, x AS c
+  FROM part JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS place FROM whole ORDER BY vec_id LIMIT 16) USING (vec_id)
+)"""
+_OP13_NEAREST = """, near_{r} AS MATERIALIZED (
+  SELECT vec_id, label, p, min(struct_pack(d := list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, e := e)) AS best
+  FROM part JOIN book_{r} USING (p) GROUP BY ALL
+)"""
+_OP13_MOVED = """, mean_{r} AS (
+  SELECT p, e, i, sum(x)::BIGINT AS s, count(*) AS n
+  FROM (SELECT part.p AS p, best.e AS e, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS x FROM part JOIN near_{r} USING (vec_id, p)) GROUP BY ALL
+), moved_{r} AS (
+  SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM mean_{r} GROUP BY ALL
+), book_{next} AS MATERIALIZED (
+  SELECT p, e, coalesce(moved_{r}.c, book_{r}.c) AS c FROM book_{r} LEFT JOIN moved_{r} USING (p, e)
+)"""
+_OP13_TAIL = """, coded AS MATERIALIZED (
+  SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM near_6 GROUP BY vec_id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book_6) AS codebooks_sha256
+FROM coded
+"""
+_OP13 = _OP13_HEAD + "".join(_OP13_NEAREST.format(r=r) + _OP13_MOVED.format(r=r, next=r + 1) for r in range(6)) + _OP13_NEAREST.format(r=6) + _OP13_TAIL
+
+#: The remainder of the CRC-32 of a conversation's number, bit by bit; prefixes of turns as lists.
+_OP12 = r"""
+WITH ordered AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), whole AS (
+  SELECT c, list({'role': role, 'text': text} ORDER BY pos) AS seq,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 6 AS h
+  FROM ordered GROUP BY c
+), rebuilt AS MATERIALIZED (
+  SELECT a.c AS c, list_concat(coalesce(list_slice(b.seq, 1, a.h), []), list_slice(a.seq, a.h + 1, len(a.seq))) AS seq
+  FROM whole a LEFT JOIN whole b ON b.c = a.c - a.c % 100
+), node AS MATERIALIZED (
+  SELECT key, d, min(c) AS conv_id, count(*) AS n_convs, string_agg(CASE WHEN len(seq) = d THEN c::VARCHAR END, ',' ORDER BY c) AS ends
+  FROM (SELECT c, seq, d, list_slice(seq, 1, d) AS key FROM (SELECT c, seq, unnest(range(len(seq) + 1)) AS d FROM rebuilt)) GROUP BY key, d
+), child AS (
+  SELECT list_slice(key, 1, d - 1) AS key, d - 1 AS d, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL
+), counted AS MATERIALIZED (
+  SELECT node.*, coalesce(n_children, 0) AS n_children, CASE WHEN node.d = 0 THEN 0 ELSE (n_convs - 1) * length(node.key[node.d].text) END AS saved FROM node LEFT JOIN child USING (key, d)
+), summed AS (
+  SELECT list_slice(key, 1, top) AS key, top AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(d + 1)) AS top FROM counted) GROUP BY ALL
+)
+SELECT c.conv_id, c.d::BIGINT AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, sha256(coalesce(c.ends, '')) AS ends_sha256
+FROM counted c JOIN summed s ON s.key = c.key AND s.d = c.d LEFT JOIN node p ON c.d > 0 AND p.d = c.d - 1 AND p.key = list_slice(c.key, 1, c.d - 1)
+"""
+
+ORACLE_SQL = {
+    "op5_warc_normaliser": _OP5,
+    "op9_positional_index": _OP9,
+    "op3_ngram_jaccard_join": _OP3,
+    "op12_prefix_intervals": _OP12,
+    "op13_exponion_codes": _OP13,
+}

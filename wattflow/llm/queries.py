@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate, digest
 from .jaccard import near_duplicates
+from .language import identify_languages
 from .oracle import ORACLE_SQL as ORACLE_SQL
 from .packing import pack
+from .prefix_trie import prefix_trie
 from .quality import quality_rules
 from .sharding import place
 from .substrings import repeated_passages
 from .token_counts import token_counts
 from .token_files import token_files
 from .toxicity import score_toxicity
+from .vector_codes import vector_codes
 from .warc import archives
 
 
@@ -65,6 +68,20 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_trie(spark, table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op13_exponion_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes(spark, table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_paragraph_minhash": op2_paragraph_minhash,
@@ -76,4 +93,7 @@ QUERIES = {
     "op8_maximal_segments": op8_maximal_segments,
     "op9_positional_index": op9_positional_index,
     "op10_lookup_table": op10_lookup_table,
+    "op11_hyperdimensional_language": op11_hyperdimensional_language,
+    "op12_prefix_intervals": op12_prefix_intervals,
+    "op13_exponion_codes": op13_exponion_codes,
 }
