@@ -120,6 +120,29 @@ _VOTED = f"{PREDICTED} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, pr
 _GAPPY = f"""{READINGS}, gappy AS (SELECT building, channel, t, seq, CASE WHEN seq % 7 <> 0 THEN watts END AS watts FROM readings)"""
 _SPLIT = "md5(concat_ws(':', '7', CAST({} AS VARCHAR)))"
 
+
+
+def _near(distance: int) -> str:
+    """Of rises and falls so many edges apart, those that are still free and of like size, and who is free after that."""
+    d, step = distance, distance - 1
+    return f"""
+n{d} AS (
+  SELECT *, coalesce(f{step} AND w > 0 AND abs(w + lead(CASE WHEN f{step} AND w <= 0 THEN w END, {d}) OVER s) < CASE WHEN w >= 1000 THEN 0.035 * w ELSE 20 END, false) AS k{d}
+  FROM m{step} WINDOW s AS (PARTITION BY building, channel ORDER BY edge_no)),
+m{d} AS (
+  SELECT *, f{step} AND NOT k{d} AND NOT coalesce(lag(k{d}, {d}) OVER s, false) AS f{d}
+  FROM n{d} WINDOW s AS (PARTITION BY building, channel ORDER BY edge_no))"""
+
+
+_TAKEN = " ".join(f"WHEN k{d} THEN {d}" for d in range(1, 20))
+TOLERANCE_PAIRS = f"""WITH {EDGES},
+m0 AS (SELECT building, channel, edge_no, transition AS w, start, "end", true AS f0, row_number() OVER (PARTITION BY building, channel ORDER BY edge_no) AS place FROM edges WHERE "end" IS NOT NULL),
+{",".join(_near(d) for d in range(1, 20))},
+rises AS (SELECT *, place + CASE {_TAKEN} END AS other FROM m19 WHERE CASE {_TAKEN} END IS NOT NULL),
+near_pairs AS (
+  SELECT r.building, r.channel, r.edge_no AS rise_no, f.edge_no AS fall_no, r.w AS t1_w, f.w AS t2_w, r.start, f."end"
+  FROM rises r JOIN m0 f ON f.building = r.building AND f.channel = r.channel AND f.place = r.other)"""
+
 ORACLE_SQL = {
     "melt": f"""WITH {READINGS}, hours AS (SELECT building, t // 3600 AS t, channel, max(watts) AS watts FROM readings GROUP BY ALL)
       SELECT g.building, g.t, c.channel, h.watts FROM (SELECT DISTINCT building, t FROM hours) g CROSS JOIN (VALUES {_NAMES}) c(channel)
@@ -187,5 +210,12 @@ ORACLE_SQL = {
     "stream_transitions": f"""WITH {EDGES} SELECT building, channel, edge_no, round(transition, 6) AS transition, duration, start, "end" FROM edges""",
     "stream_predict": f"{PREDICTED} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, pred FROM predicted",
     "stream_resampled": f"WITH {READINGS} SELECT building, channel, t // 3600 * 3600 AS t, round(avg(watts), 6) AS watts FROM readings GROUP BY ALL",
+    "pair_by_tolerance": f"""{TOLERANCE_PAIRS} SELECT building, channel, rise_no, fall_no, round(t1_w, 6) AS t1_w, round(t2_w, 6) AS t2_w, start, "end" FROM near_pairs""",
+    "tolerance_shape": f"""{TOLERANCE_PAIRS} SELECT building, channel, rise_no, round((abs(t1_w) + abs(t2_w)) / 2, 6) AS height_w, "end" - start AS duration_s FROM near_pairs""",
     "pair_shape": f"""{PAIRS} SELECT building, channel, rise_no, round(transition, 6) AS height_w, "end" - start AS duration_s FROM pairs""",
 }
+
+#: Series cut into chunks, and buckets in place of a sweep, give what the plain forms give.
+ORACLE_SQL |= {name: ORACLE_SQL[name.split("_by_")[0]] for name in (
+    "transitions_by_chunks", "steady_states_by_chunks", "pair_edges_by_chunks", "pair_outermost_by_chunks", "match_edges_by_chunks", "match_edges_by_buckets", "backfill_by_chunks", "paint_intervals_by_chunks",
+)}

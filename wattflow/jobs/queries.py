@@ -18,6 +18,8 @@ CHANNELS = {"click": "main", "view": "fridge", "error": "microwave", "purchase":
 APPLIANCES = ["fridge", "microwave", "dish washer", "electric furnace"]
 STATE_THRESHOLD, NOISE_LEVEL, TOLERANCE = 40.0, 20.0, 3600
 ORDER = ("t", "seq")
+#: Stretches of time (seconds) and of edges that long series are cut into.
+CHUNK_SECONDS, CHUNK_EDGES = 21_600, 50
 FLAGS = {"A": 0, "N": 1, "R": 2}
 N_BITS, N_FEATURE = 4, 16
 #: class, clause, literals that must be 1, literals that must be 0; one clause is empty and so always holds.
@@ -52,7 +54,8 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def _matches(found: DataFrame) -> DataFrame:
-    return matching.match_edges(found.where("channel = 'main'"), found.where("channel != 'main'"), TOLERANCE)
+    """Edges of the detector are ordered, so that a sweep finds their matches."""
+    return matching.match_edges(found.where("channel = 'main'"), found.where("channel != 'main'"), TOLERANCE, ordered=True)
 
 
 def _labelled(spark, sf_dir) -> DataFrame:
@@ -151,6 +154,41 @@ def q_pair_edges(spark, sf_dir):
     return _rounded(pairing.pair_edges(_edges(spark, sf_dir)), "transition")
 
 
+def q_transitions_by_chunks(spark, sf_dir):
+    return _rounded(_edges(spark, sf_dir, chunk=CHUNK_SECONDS).drop("active_average", "at"), "transition")
+
+
+def q_steady_states_by_chunks(spark, sf_dir):
+    return _rounded(edges.steady_states(readings(spark, sf_dir), NOISE_LEVEL, STATE_THRESHOLD, order=ORDER, chunk=CHUNK_SECONDS), "active_average")
+
+
+def q_pair_edges_by_chunks(spark, sf_dir):
+    return _rounded(pairing.pair_edges(_edges(spark, sf_dir), chunk=CHUNK_EDGES), "transition")
+
+
+def q_pair_outermost_by_chunks(spark, sf_dir):
+    return _rounded(pairing.pair_outermost(_labelled(spark, sf_dir), chunk=CHUNK_EDGES), "transition")
+
+
+def q_match_edges_by_chunks(spark, sf_dir):
+    found = _edges(spark, sf_dir)
+    return matching.match_edges(found.where("channel = 'main'"), found.where("channel != 'main'"), TOLERANCE, ordered=True, chunk=CHUNK_SECONDS)
+
+
+def q_match_edges_by_buckets(spark, sf_dir):
+    found = _edges(spark, sf_dir)
+    return matching.match_edges(found.where("channel = 'main'"), found.where("channel != 'main'"), TOLERANCE, ordered=False)
+
+
+def q_backfill_by_chunks(spark, sf_dir):
+    return prepare.backfill(_gappy(spark, sf_dir), order=ORDER, chunk=CHUNK_SECONDS)
+
+
+def q_paint_intervals_by_chunks(spark, sf_dir):
+    pairs = pairing.pair_edges(_edges(spark, sf_dir))
+    return painting.paint_intervals(readings(spark, sf_dir), pairs, chunk=CHUNK_SECONDS).select("building", "channel", "t", "seq", "on")
+
+
 def q_edge_counts(spark, sf_dir):
     found = _edges(spark, sf_dir)
     return pairing.edge_counts(found, pairing.pair_edges(found))
@@ -343,6 +381,11 @@ def q_pair_shape(spark, sf_dir):
     return _rounded(pairing.pair_shape(pairs).select("building", "channel", "rise_no", "height_w", "duration_s"), "height_w")
 
 
+def q_tolerance_shape(spark, sf_dir):
+    """Pairs of edges of unlike size."""
+    return _rounded(pairing.pair_shape(_tolerance_pairs(spark, sf_dir)).select("building", "channel", "rise_no", "height_w", "duration_s"), "height_w")
+
+
 def q_cluster_pairs(spark, sf_dir):
     return pairing.cluster_pairs(pairing.pair_shape(_tolerance_pairs(spark, sf_dir)), bandwidth=15.0, bin_width=2.0)
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import overlaps
+from . import chunks
 
 TOLERANCE = 2
 #: An interval is cut to at most so many buckets; longer ones are joined in a bucket of a coarser grid.
@@ -50,8 +51,44 @@ def candidates(main: DataFrame, app: DataFrame, tolerance: int = TOLERANCE, widt
     return coarse.unionByName(fine)
 
 
-def match_edges(main: DataFrame, app: DataFrame, tolerance: int = TOLERANCE, width: int | None = None) -> DataFrame:
-    """building, channel, edge_no, main_edge: for each appliance edge the first main edge (by edge_no) that it overlaps."""
+def ascending(main: DataFrame) -> bool:
+    """Whether by edge_no, in each building, starts ascend and ends do not descend; edges without an end do not count."""
+    ranks = Window.partitionBy("building").orderBy("edge_no")
+    rows = main.where("end is not null").select("building", "edge_no", "start", "end").withColumns({"s": F.lag("start").over(ranks), "e": F.lag("end").over(ranks)})
+    return rows.where("start < s or end < e").limit(1).count() == 0
+
+
+def sweep(main: DataFrame, app: DataFrame, tolerance: int = TOLERANCE, chunk: float | None = None) -> DataFrame:
+    """The matches of match_edges where starts of main edges ascend and ends do not descend (see ascending).
+
+    The first main edge that an appliance edge can overlap is then the first that ends late enough, and if it begins too
+    late, so do all after it. Main edges at their end and appliance edges at the least end that they need are put in one
+    order of time, and each of these takes the main edge that comes next: one exchange on building, and no row
+    multiplies. With chunk, a building is cut into stretches of so many units of time, each a task.
+    """
+    placed = "building is not null and start is not null and end is not null"
+    m = main.where(placed).select("building", F.lit(None).cast("string").alias("channel"), F.lit(None).cast("long").alias("edge_no"), F.lit(None).cast("long").alias("a_end"), F.col("end").cast("long").alias("at"), F.lit(1).alias("kind"), F.col("edge_no").cast("long").alias("main_edge"), F.col("start").cast("long").alias("m_start"))
+    a = app.where(placed).select("building", "channel", F.col("edge_no").cast("long"), F.col("end").cast("long").alias("a_end"), (F.col("start") - 2 * tolerance).cast("long").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("main_edge"), F.lit(None).cast("long").alias("m_start"))
+    events = m.unionByName(a)
+    value = F.when(F.col("kind") == 1, F.struct("main_edge", "m_start"))
+    order = [F.col("at"), F.col("kind"), F.coalesce("main_edge", F.lit(0))]
+    if chunk is None:
+        back = Window.partitionBy("building").orderBy(*(c.desc() for c in order))
+        events = events.withColumn("next", F.last(value, ignorenulls=True).over(chunks.past(back)))
+    else:
+        events = chunks.next_known(events, ["building"], order, "at", chunk, value, "next")
+    found = events.where((F.col("kind") == 0) & (F.col("next.m_start") - F.col("a_end") <= 2 * tolerance))
+    return found.select("building", "channel", "edge_no", F.col("next.main_edge").alias("main_edge"))
+
+
+def match_edges(main: DataFrame, app: DataFrame, tolerance: int = TOLERANCE, width: int | None = None, ordered: bool | None = None, chunk: float | None = None) -> DataFrame:
+    """building, channel, edge_no, main_edge: for each appliance edge the first main edge (by edge_no) that it overlaps.
+
+    If main edges are ordered, as those of the detector are, one sweep finds them (chunk: see sweep); else buckets of
+    time are joined (width: see candidates). Unless it is told, this is looked up by a job of its own.
+    """
+    if ascending(main) if ordered is None else ordered:
+        return sweep(main, app, tolerance, chunk)
     met = candidates(main, app, tolerance, width).where(overlaps(F.col("m_start"), F.col("m_end"), F.col("a_start"), F.col("a_end"), tolerance))
     return met.groupBy("building", "channel", "edge_no").agg(F.min("main_edge").alias("main_edge"))
 

@@ -7,15 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import chunks
+
 KEYS = ("building", "channel")
 THRESHOLD = 80.0
 
 
-def paint_intervals(samples: DataFrame, pairs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def paint_intervals(samples: DataFrame, pairs: DataFrame, keys: Sequence[str] = KEYS, chunk: float | None = None) -> DataFrame:
     """samples with on = 1 where start <= t <= end of one of the pairs, else 0. Intervals may nest.
 
     Starts, samples and ends are swept in order of time; what lies at one time is ordered so that both ends belong to
-    the interval. There is no join: however long intervals are, no rows multiply.
+    the interval. There is no join: however long intervals are, no rows multiply. With chunk, a series is cut into
+    stretches of so many units of t, each a task, to which the number of intervals open at its beginning is carried;
+    samples without a key or a t are left out then.
     """
     names = [c for c in samples.columns if c not in keys and c != "t"]
     rest = F.struct(*(F.col(f"`{c}`") for c in names)) if names else F.struct(F.lit(0).alias("_"))
@@ -23,8 +27,14 @@ def paint_intervals(samples: DataFrame, pairs: DataFrame, keys: Sequence[str] =
     empty = F.lit(None).cast(events.schema["rest"].dataType).alias("rest")
     for column, kind, delta in (("start", 0, 1), ("end", 2, -1)):
         events = events.unionByName(pairs.select(*keys, F.col(column).alias("t"), F.lit(kind).alias("kind"), F.lit(delta).alias("delta"), empty))
-    sweep = Window.partitionBy(*keys).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    painted = events.withColumn("on", (F.sum("delta").over(sweep) > 0).cast("int")).where("kind = 1")
+    if chunk is None:
+        opened = F.sum("delta").over(chunks.past(Window.partitionBy(*keys).orderBy("t", "kind")))
+    else:
+        events = chunks.cut(events, keys, "t", chunk)
+        open_in = F.coalesce(F.sum("total").over(chunks.before(chunks.along(keys))), F.lit(0))
+        events = chunks.carried(events, keys, [F.sum("delta").alias("total")], {"open_in": open_in}, ["open_in"])
+        opened = F.col("open_in") + F.sum("delta").over(chunks.past(chunks.within(keys, ["t", "kind"])))
+    painted = events.withColumn("on", (opened > 0).cast("int")).where("kind = 1")
     return painted.select(*keys, "t", *(F.col("rest")[c].alias(c) for c in names), "on")
 
 

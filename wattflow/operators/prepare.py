@@ -7,14 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import chunks
+
 KEYS = ("building", "channel")
 
 
-def backfill(readings: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ("t",), value: str = "watts") -> DataFrame:
+def backfill(readings: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ("t",), value: str = "watts", chunk: float | None = None) -> DataFrame:
     """Each gap takes the next known value of its series; gaps at the end stay. One shuffle on the keys.
 
-    The window runs backwards in time, so that its frame only grows; the same frame written forwards is quadratic.
+    The window runs backwards in time, so that its frame only grows; the same frame written forwards is quadratic. With
+    chunk, a series is cut into stretches of so many units of order's first column, each a task; a chunk needs of later
+    ones the first value that is known. Rows without a key or a place are left out then.
     """
+    if chunk is not None:
+        return chunks.next_known(readings, keys, [F.col(c) for c in order], order[0], chunk, F.col(value), value)
     back = Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order)).rowsBetween(Window.unboundedPreceding, 0)
     return readings.withColumn(value, F.last(value, ignorenulls=True).over(back))
 
