@@ -147,6 +147,56 @@ def test_passages_that_keep_to_no_sentences(spark, make_docs, size, stops):
         assert [w.lower() for w in cut] == [w.lower() for w in passages[r.doc_id - 6]]
 
 
+def gone(found):
+    out = {}
+    for r in found:
+        out.setdefault(r.doc_id, set()).update(range(r.first_word, r.first_word + r.n_words))
+    return out
+
+
+def plain_gone(texts, window=20):
+    """The words of all windows that a text of a smaller number has as well."""
+    words, least, out = [t.split() for t in texts], {}, {}
+    for i, w in enumerate(words):
+        for a in range(len(w) - window + 1):
+            least.setdefault(tuple(w[a : a + window]), i)
+    for i, w in enumerate(words):
+        for a in range(len(w) - window + 1):
+            if least[tuple(w[a : a + window])] < i:
+                out.setdefault(i, set()).update(range(a, a + window))
+    return out
+
+
+def test_a_passage_several_times_in_one_text(spark, make_docs):
+    own = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    p = own("p", 30)
+    inside = f"{own('s', 15)} {p} {own('t', 15)}"  # equal around p at both places of text 2, not in text 1
+    texts = [
+        own("x", 9) + " w" * 25, own("y", 9) + " w" * 42,
+        f"{own('a', 30)} {p} {own('b', 30)}", f"{own('c', 14)} {inside} {own('d', 29)} {inside}",
+    ]
+    expected = plain_gone(texts)
+    assert expected[1] == set(range(9, 51)) and expected[3] == set(range(29, 59)) | set(range(118, 148))
+    assert gone(repeated_exact(spark, make_docs(texts))) == expected
+
+
+def repeated_exact(spark, docs):
+    return substrings.repeated_passages(spark, docs).where("kind = 'exact'").collect()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_repeats_of_few_words_equal_brute_force(spark, make_docs, seed):
+    """Texts over two words, in which anchors and what surrounds them repeat within and across texts."""
+    rnd, texts = random.Random(seed), []
+    for _ in range(24):
+        parts = [rnd.choice(["u", "v"]) * 1 for _ in range(rnd.randint(0, 30))]
+        for _ in range(rnd.randint(0, 4)):
+            unit = rnd.choice([["u"], ["u", "v"], ["v", "v", "u"]])
+            parts += unit * rnd.randint(1, 30) + [rnd.choice("uv") for _ in range(rnd.randint(0, 12))]
+        texts.append(" ".join(parts))
+    assert gone(repeated_exact(spark, make_docs(texts))) == plain_gone(texts)
+
+
 def test_band_recall():
     rnd, hits = random.Random(5), 0
     for _ in range(100):

@@ -171,7 +171,7 @@ def _shared(packed: DataFrame) -> DataFrame:
         several = (np.minimum.reduceat(docs, starts) < np.maximum.reduceat(docs, starts))[group]
         kept = docs[np.flatnonzero(inner)][np.cumsum(inner) - 1]
         covered = several & (docs != kept)
-        asked = several & inner & (np.add.reduceat(inner.astype(np.int64), starts) > 1)[group]
+        asked = several & ~covered & (np.add.reduceat(inner.astype(np.int64), starts) > 1)[group]  # a document may have the same words around at several places
         rows = np.concatenate([np.flatnonzero(covered), np.flatnonzero(asked)])
         return pa.table([pa.array(docs[rows]), pa.array(places[rows]), pa.array(kept[rows], mask=np.arange(len(rows)) >= covered.sum())], ["doc", "w0", "kept"])
 
