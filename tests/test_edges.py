@@ -6,7 +6,8 @@ import pytest
 
 from wattflow.operators import edges, prepare
 from wattflow.streaming.edges import OnlineDetector, stream_transitions
-from wattflow.streaming.run import drain
+from wattflow.streaming.late import edges_with_late, late_counts, resampled_with_late, state_store
+from wattflow.streaming.run import drain, drain_in_turns
 
 SERIES = "building int, channel string, t long, watts double"
 STEP = [100.0] * 4 + [300.0] * 4 + [100.0] * 4
@@ -111,3 +112,59 @@ def test_resample_equals_a_plain_version(spark):
             expected[(*key, t)] = sum(found) / len(found)
     got = prepare.resample(spark.createDataFrame(rows, "building int, channel string, t long, watts double"), 6).collect()
     assert {(r.building, r.channel, r.t): r.watts for r in got} == expected and len(got) == len(expected)
+
+
+def _turns(spark, rows, schema):
+    """Rows (turn, ...) as a table with ts."""
+    return spark.createDataFrame(rows, schema).selectExpr("*", "timestamp_seconds(t) as ts")
+
+
+def _in_time(rows, delay):
+    """Rows that are not late, those before the last watermark, and the number of late ones."""
+    seen, kept, late = [], [], 0
+    for turn in range(1 + max(r[0] for r in rows)):
+        mark = max(seen) - delay if seen else -1
+        for r in (r for r in rows if r[0] == turn):
+            if r[3] <= mark:
+                late += 1
+            else:
+                kept.append(r)
+        seen += [r[3] for r in rows if r[0] == turn]
+    return [r[1:] for r in kept if r[3] <= max(seen) - delay], late, max(seen) - delay
+
+
+def test_late_readings_are_counted_and_left_out(spark):
+    schema = "building int, channel string, t long, seq long, watts double"
+    rnd, rows = random.Random(4), []
+    for b in (1, 2):
+        rows += [(min(3, t // 60 + (t % 60 > 50 and rnd.random() < 0.5) + (rnd.random() < 0.05)), b, "main", 1000 + t, t, w) for t, w in enumerate(_random_series(240, b))]
+    rnd.shuffle(rows)
+    in_time, late, _ = _in_time(rows, 15)
+    made = lambda s: edges_with_late(s, 80, 15, delay="15 seconds")
+    with state_store(spark):
+        found = drain_in_turns(spark, _turns(spark, rows, f"turn int, {schema}"), "turn", 4, made, "test-late").cache()
+    batch = edges.transitions(spark.createDataFrame(in_time, schema), 80, 15).collect()
+    key = lambda r: (r.building, r.edge_no, round(r.transition, 6), r.duration, r.start, r.end)
+    assert sorted(map(key, found.where("kind = 'edge'").collect())) == sorted(map(key, batch)) and batch
+    counts = {r.building: r.n_late for r in late_counts(found).collect()}
+    assert sum(counts.values()) == late > 0
+    for b, n in counts.items():  # numbered without gaps through all turns
+        assert sorted(r.late_no for r in found.where(f"kind = 'late' and building = {b}").collect()) == list(range(n))
+
+
+def test_dense_cells_of_a_stream_equal_the_batch(spark):
+    schema = "building int, channel string, t long, seq long, watts double"
+    rnd, rows = random.Random(6), []
+    for b in (1, 2):
+        for i in range(160):
+            t = 1000 + rnd.choice([i * 3, i * 3 + 1, 480 + i // 4])
+            rows.append((min(3, max(0, (t - 1000) // 120 + (rnd.random() < 0.1))), b, "main", t, i, rnd.uniform(0, 9)))
+    rows.append((3, 3, "push", 5000, 0, 1.0))
+    in_time, late, mark = _in_time(rows, 20)
+    final = [r for r in in_time if r[2] // 6 * 6 + 5 <= mark]
+    with state_store(spark):
+        found = drain_in_turns(spark, _turns(spark, rows, f"turn int, {schema}"), "turn", 4, lambda s: resampled_with_late(s, 6, "20 seconds"), "test-cells").cache()
+    key = lambda r: (r.building, r.t, round(r.watts, 9))
+    expected = prepare.resample(spark.createDataFrame(final, schema), 6).collect()
+    assert sorted(map(key, found.where("kind = 'cell'").collect())) == sorted(map(key, expected))
+    assert any(r.watts == 0 for r in expected) and found.where("kind = 'late'").count() == late > 0

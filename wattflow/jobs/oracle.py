@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import APPLIANCES, CHANNELS, NOISE_LEVEL, SMALL_MODEL, STATE_THRESHOLD, TOLERANCE
+from .queries import APPLIANCES, CHANNELS, DELAY, LATE_AT, LATE_EVERY, NOISE_LEVEL, SMALL_MODEL, STATE_THRESHOLD, TOLERANCE, TURNS
 
 _CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CHANNELS.items())
 _NAMES = ", ".join(f"('{v}')" for v in CHANNELS.values())
@@ -143,6 +143,24 @@ near_pairs AS (
   SELECT r.building, r.channel, r.edge_no AS rise_no, f.edge_no AS fall_no, r.w AS t1_w, f.w AS t2_w, r.start, f."end"
   FROM rises r JOIN m0 f ON f.building = r.building AND f.channel = r.channel AND f.place = r.other)"""
 
+#: Readings with the quarter in which they arrive; late is what the watermark of the quarters before has reached.
+ARRIVED = f"""{READINGS},
+ends AS (SELECT min(t) AS low, max(t) AS high FROM readings),
+arriving AS (
+  SELECT readings.*, least({TURNS - 1}, CAST(floor((t - low) * {TURNS} / (high - low + 1)) AS INT) + CAST(seq % {LATE_EVERY} = {LATE_AT} AS INT)) AS turn FROM readings, ends),
+marks AS (SELECT b AS turn, max(t) - {DELAY} AS mark FROM arriving, (SELECT unnest(range({TURNS + 1})) AS b) WHERE arriving.turn < b GROUP BY b),
+arrived AS (SELECT a.*, coalesce(a.t <= mark, false) AS late FROM arriving a LEFT JOIN marks USING (turn)),
+in_time AS (SELECT building, channel, t, seq, watts FROM arrived WHERE NOT late AND t <= (SELECT mark FROM marks WHERE turn = {TURNS}))"""
+IN_TIME_EDGES = ARRIVED + EDGES.removeprefix(READINGS).replace("FROM readings", "FROM in_time")
+
+
+def _dense(source: str, final: str = "true") -> str:
+    """Hourly means of a table, 0 in the hours without readings between each series' first and last."""
+    return f"""hourly AS (SELECT building, channel, t // 3600 * 3600 AS t, avg(watts) AS watts FROM {source} WHERE {final} GROUP BY ALL),
+hours AS (SELECT building, channel, unnest(range(min(t), max(t) + 3600, 3600)) AS t FROM hourly GROUP BY building, channel)
+SELECT building, channel, t, round(coalesce(watts, 0), 6) AS watts FROM hours LEFT JOIN hourly USING (building, channel, t)"""
+
+
 ORACLE_SQL = {
     "melt": f"""WITH {READINGS}, hours AS (SELECT building, t // 3600 AS t, channel, max(watts) AS watts FROM readings GROUP BY ALL)
       SELECT g.building, g.t, c.channel, h.watts FROM (SELECT DISTINCT building, t FROM hours) g CROSS JOIN (VALUES {_NAMES}) c(channel)
@@ -208,6 +226,10 @@ ORACLE_SQL = {
       UNION ALL SELECT 'weighted avg', round(sum(p * support) / sum(support), 6), round(sum(r * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM f
       UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(hits) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM f""",
     "stream_transitions": f"""WITH {EDGES} SELECT building, channel, edge_no, round(transition, 6) AS transition, duration, start, "end" FROM edges""",
+    "stream_late_edges": f"""WITH {IN_TIME_EDGES} SELECT building, channel, edge_no, round(transition, 6) AS transition, duration, start, "end" FROM edges""",
+    "stream_late_counts": f"WITH {ARRIVED} SELECT building, channel, count(*) AS n_late FROM arrived WHERE late GROUP BY ALL",
+    "stream_resampled_dense": f"WITH {ARRIVED}, {_dense('in_time', f'(t // 3600 + 1) * 3600 - 1 <= (SELECT mark FROM marks WHERE turn = {TURNS})')}",
+    "resample_hourly": f"WITH {READINGS}, {_dense('readings')}",
     "stream_predict": f"{PREDICTED} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, pred FROM predicted",
     "stream_resampled": f"WITH {READINGS} SELECT building, channel, t // 3600 * 3600 AS t, round(avg(watts), 6) AS watts FROM readings GROUP BY ALL",
     "pair_by_tolerance": f"""{TOLERANCE_PAIRS} SELECT building, channel, rise_no, fall_no, round(t1_w, 6) AS t1_w, round(t2_w, 6) AS t2_w, start, "end" FROM near_pairs""",

@@ -11,7 +11,8 @@ from ..operators.model import CLAUSES, Meta, included, load_model, model_footpri
 from ..sources.readings import melt, widen, with_sample_number
 from ..sources.shared import Scratch
 from ..streaming.edges import stream_resampled, stream_transitions
-from ..streaming.run import drain
+from ..streaming.late import edges_with_late, late_counts, resampled_with_late, state_store
+from ..streaming.run import drain, drain_in_turns
 from .disaggregate import train_and_evaluate
 
 CHANNELS = {"click": "main", "view": "fridge", "error": "microwave", "purchase": "dish washer", "signup": "electric furnace"}
@@ -350,6 +351,37 @@ def q_stream_transitions(spark, sf_dir):
     return _rounded(found, "transition")
 
 
+#: Readings arrive in quarters of their time; some come one quarter late. The watermark is DELAY seconds behind.
+TURNS, DELAY, LATE_EVERY, LATE_AT = 4, 3600, 40, 7
+
+
+def _arriving(spark, sf_dir) -> DataFrame:
+    rows = readings(spark, sf_dir).withColumn("ts", F.timestamp_seconds("t"))
+    low, high = rows.agg(F.min("t"), F.max("t")).first()
+    quarter = F.floor((F.col("t") - low) * TURNS / (high - low + 1))
+    held_back = (F.col("seq") % LATE_EVERY == LATE_AT).cast("int")
+    return rows.withColumn("turn", F.least(F.lit(TURNS - 1), quarter + held_back).cast("int"))
+
+
+def _drained(spark, sf_dir, made, label):
+    with state_store(spark):
+        return drain_in_turns(spark, _arriving(spark, sf_dir), "turn", TURNS, made, label)
+
+
+def q_stream_late_edges(spark, sf_dir):
+    found = _drained(spark, sf_dir, lambda s: edges_with_late(s, NOISE_LEVEL, STATE_THRESHOLD, delay=f"{DELAY} seconds"), "late-edges")
+    return _rounded(found.where("kind = 'edge'").select("building", "channel", "edge_no", "transition", "duration", "start", "end"), "transition")
+
+
+def q_stream_late_counts(spark, sf_dir):
+    return late_counts(_drained(spark, sf_dir, lambda s: edges_with_late(s, NOISE_LEVEL, STATE_THRESHOLD, delay=f"{DELAY} seconds"), "late-counts"))
+
+
+def q_stream_resampled_dense(spark, sf_dir):
+    found = _drained(spark, sf_dir, lambda s: resampled_with_late(s, 3600, f"{DELAY} seconds"), "late-cells")
+    return _rounded(found.where("kind = 'cell'").select("building", "channel", "t", "watts"), "watts")
+
+
 def q_stream_predict(spark, sf_dir):
     stats = features.feature_stats(_features(spark, sf_dir), per_feature=True).orderBy("pos").collect()
     rows = _stream(spark, sf_dir, "lineitem").withColumn("features", F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
@@ -362,6 +394,10 @@ def q_resample_6s(spark, sf_dir):
     return _rounded(prepare.resample(readings(spark, sf_dir), 6), "watts")
 
 
+def q_resample_hourly(spark, sf_dir):
+    return _rounded(prepare.resample(readings(spark, sf_dir), 3600), "watts")
+
+
 def q_stream_resampled(spark, sf_dir):
     rows = as_readings(_stream(spark, sf_dir, "events")).withColumn("ts", F.timestamp_seconds("t"))
     found = drain(spark, stream_resampled(rows, 3600), "stream-resample", "complete")
