@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattflow.functions import scalar
-from wattflow.jobs.disaggregate import train_and_evaluate
-from wattflow.operators import features, metrics, model, predict, train
+from wattflow.jobs.disaggregate import train_and_evaluate, train_save_evaluate
+from wattflow.operators import features, metrics, model, pairing, predict, train
 from wattflow.sources import readings
 
 
@@ -131,3 +131,124 @@ def test_readings_of_buildings_with_different_channels(spark, tmp_path):
     assert sub == {(0, "main"): 1, (0, "fridge"): 0, (1, "main"): 0, (1, "fridge"): 1}
     (tmp_path / "f.csv").write_text("a,b,kind\n1,2,x\n")
     assert readings.read_labelled_csv(spark, f"{tmp_path}/f.csv").first() == ([1.0, 2.0], "x")
+
+
+def plain_feedback(states, bits, label, id_, epoch, params):
+    """One sample's changes, automaton by automaton."""
+    n_class, n_clause, n_literal = states.shape
+    draw = lambda key, number: train.keyed(key, np.array([number]))
+    key = draw(draw(draw(np.zeros(1, np.uint64), params.seed), epoch), np.int64(id_))
+    literals, middle, change = [*bits, *(1 - b for b in bits)], params.n_state // 2, np.zeros(states.shape, int)
+    other = int(train.uniform(draw(key, 0))[0] * (n_class - 1))
+    other += other >= label
+    for row, (cls, sign) in enumerate(((label, 1), (other, -1))):
+        holds = [all(x or s <= middle for x, s in zip(literals, states[cls, j], strict=True)) for j in range(n_clause)]
+        votes = max(-params.target, min(params.target, sum((1 - 2 * (j % 2)) * h for j, h in enumerate(holds))))
+        for j in range(n_clause):
+            own = draw(key, 1 + row * n_clause + j)
+            if train.uniform(own)[0] >= (params.target - sign * votes) / (2 * params.target):
+                continue
+            for k in range(n_literal):
+                state, u = states[cls, j, k], train.uniform(draw(own, k))[0]
+                if (j % 2 == 0) == (sign > 0):
+                    if holds[j] and literals[k]:
+                        change[cls, j, k] += u < (params.specificity - 1) / params.specificity and state < params.n_state
+                    else:
+                        change[cls, j, k] -= u < 1 / params.specificity and state > 1
+                elif holds[j]:
+                    change[cls, j, k] += not literals[k] and state <= middle
+    return change
+
+
+@pytest.mark.parametrize("n_class", [2, 4])
+def test_a_batch_equals_its_samples_one_by_one(n_class):
+    params, rng = train.Params(n_clause=6, n_state=8, target=3, specificity=3.0, seed=5), np.random.default_rng(n_class)
+    states = rng.integers(1, 9, (n_class, 6, 10))
+    states[:, ::3] = rng.integers(1, 5, states[:, ::3].shape)  # clauses that hold
+    bits, labels, ids = rng.integers(0, 2, (40, 5)), rng.integers(0, n_class, 40), rng.integers(-5, 1 << 40, 40)
+    expected = sum(plain_feedback(states, b.tolist(), int(y), int(i), 2, params) for b, y, i in zip(bits, labels, ids, strict=True))
+    assert (train.batch_feedback(states, bits, labels, ids, 2, params) == expected).all() and expected.any()
+
+
+def test_batched_training_does_not_depend_on_partitions(spark):
+    df = features.booleanize_features(_two_classes(spark), 2, 1.0, 1.0)
+    params, meta = train.Params(n_clause=4, n_state=6, target=4, epochs=2), model.Meta(2, 6, 4, 6)
+    learn = lambda rows: sorted(map(str, train.train_batched(rows, "id", meta, params).collect()))
+    odd = spark.createDataFrame([(None, [1] * 6, 0), (5000, None, 1), (5001, [0] * 6, None)], "id long, bits array<int>, label int")
+    assert learn(df.repartition(7)) == learn(df.coalesce(1).select("id", "bits", "label").unionByName(odd))
+
+
+def test_a_grid_learns_what_its_settings_learn_alone(spark):
+    df = features.booleanize_features(_two_classes(spark), 2, 1.0, 1.0).withColumn("k", (F.col("id") % 4 < 2).cast("int"))
+    grid = [train.Params(n_clause=4, n_state=6, target=4, epochs=1), train.Params(n_clause=6, n_state=10, target=5, specificity=3.0, epochs=4)]
+    found = train.train_grid(df, ["k"], "id", 2, grid, seed=3)
+    rows = found.collect()
+    assert len(rows) == 2 * 2 * (4 + 6)
+    split = features.train_test_split(df.select("k", "id", "bits", "label"), "id", 0.2, 3, exact=False).orderBy("label", "id").collect()
+    for k in (0, 1):
+        for i, params in enumerate(grid):
+            own = [r for r in split if r.k == k and r.is_train]
+            bits = np.array([r.bits for r in own])
+            states = train.train_samples(bits, np.array([r.label for r in own]), train._first_states(2, bits.shape[1], params), params)
+            got = {(r["class"], r.clause): r.state for r in rows if (r.k, r.setting) == (k, i)}
+            assert got == {(c, j): states[c, j].tolist() for c in range(2) for j in range(params.n_clause)}
+        best = {(r.accuracy, r.setting) for r in rows if r.k == k and r.best}
+        assert len(best) == 1 and best.pop()[0] == max(r.accuracy for r in rows if r.k == k)
+
+
+def test_a_saved_model_is_as_good_as_the_learned_one(spark, tmp_path):
+    params = train.Params(n_clause=10, n_state=10, target=8, specificity=4.0, epochs=4)
+    rows = train_save_evaluate(_two_classes(spark), "id", 2, params, f"file://{tmp_path}").collect()
+    assert {r.form for r in rows} == {"learned", "training", "inference"} and len({(r.n_test, r.accuracy) for r in rows}) == 1
+    assert rows[0].accuracy > 0.85
+
+
+def test_footprints_of_a_model_of_three_classes(spark):
+    """300 clauses with 2,512 literals in all take 8,676 bytes."""
+    sizes = [8 + (j < 112) for j in range(300)]
+    clauses = spark.createDataFrame([(j // 100, j % 100, 1, n, 0, list(range(n))) for j, n in enumerate(sizes)], model.CLAUSES)
+    assert sum(sizes) == 2512 and model.model_footprint(clauses).first().n_bytes == 8676
+    states = spark.createDataFrame([(0, j, 1, [1] * 32) for j in range(300)], model.STATES)
+    assert model.training_footprint(states).first().n_bytes == 52 + 8 * 300 + 4 * 300 * 32
+
+
+def test_a_model_that_is_too_large_is_an_error(spark, monkeypatch):
+    clauses = spark.createDataFrame([(0, j, 1, 1, 0, [0]) for j in range(4)], model.CLAUSES)
+    monkeypatch.setattr(model, "MOST_AUTOMATA", 15)
+    with pytest.raises(ValueError):
+        model.to_arrays(clauses, 2)
+
+
+@pytest.mark.parametrize("fmt", readings.FORMATS)
+def test_tables_come_back_as_they_were_written(spark, tmp_path, fmt):
+    df = spark.createDataFrame([(1, "fridge", 0, 2.5, [1.0, 2.0]), (2, "main", 3, None, [])], "building int, channel string, edge_no long, transition double, sequence array<double>")
+    readings.write_table(df, f"{tmp_path}/{fmt}", fmt)
+    back = spark.read.format(fmt).schema("channel string, edge_no long, transition double, sequence string, building int" if fmt == "csv" else df.schema).option("header", True).load(f"{tmp_path}/{fmt}")
+    if fmt == "csv":
+        back = back.withColumn("sequence", F.from_json("sequence", "array<double>"))
+    assert sorted(map(tuple, back.select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_clusters_equal_a_plain_mean_shift(spark):
+    rnd, rows = np.random.default_rng(8), []
+    for b in (1, 2):
+        rows += [(b, float(abs(h))) for centre in (60, 150, 420) for h in rnd.normal(centre, 9, 40)]
+    got = pairing.cluster_pairs(spark.createDataFrame(rows, "building int, height_w double"), 30.0, 5.0).collect()
+    for b in (1, 2):
+        points = [(np.floor(h / 5) + 0.5) * 5 for k, h in rows if k == b]
+        ends = []
+        for x in points:
+            while True:
+                near = [p for p in points if abs(p - x) <= 30]
+                if abs(sum(near) / len(near) - x) < 1e-9:
+                    break
+                x = sum(near) / len(near)
+            ends.append(x)
+        merged = []
+        for x in sorted(ends):
+            if merged and x - merged[-1][0] <= 15:
+                merged[-1][1] += 1
+            else:
+                merged.append([x, 1])
+        own = sorted((r.center_w, r.n) for r in got if r.building == b)
+        assert len(own) == len(merged) and all(abs(c - m) < 1e-5 and n == k for (c, n), (m, k) in zip(own, merged, strict=True))

@@ -153,6 +153,14 @@ arrived AS (SELECT a.*, coalesce(a.t <= mark, false) AS late FROM arriving a LEF
 in_time AS (SELECT building, channel, t, seq, watts FROM arrived WHERE NOT late AND t <= (SELECT mark FROM marks WHERE turn = {TURNS}))"""
 IN_TIME_EDGES = ARRIVED + EDGES.removeprefix(READINGS).replace("FROM readings", "FROM in_time")
 
+#: Edges of readings whose gaps are filled; trailing gaps stay and do not count.
+_FILLED = f"""{READINGS}, gappy AS (SELECT building, channel, t, seq, CASE WHEN seq % 7 <> 0 THEN watts END AS watts FROM readings),
+filled AS (SELECT * FROM (
+  SELECT building, channel, t, seq, first_value(watts IGNORE NULLS) OVER (PARTITION BY building, channel ORDER BY t, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS watts FROM gappy)
+  WHERE watts IS NOT NULL)"""
+FILLED_EDGES = _FILLED + EDGES.removeprefix(READINGS).replace("FROM readings", "FROM filled")
+FILLED_PAIRS = f"WITH {FILLED_EDGES},{_pairs('edges', 'channel')}"
+
 
 def _dense(source: str, final: str = "true") -> str:
     """Hourly means of a table, 0 in the hours without readings between each series' first and last."""
@@ -232,6 +240,13 @@ ORACLE_SQL = {
     "resample_hourly": f"WITH {READINGS}, {_dense('readings')}",
     "stream_predict": f"{PREDICTED} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, pred FROM predicted",
     "stream_resampled": f"WITH {READINGS} SELECT building, channel, t // 3600 * 3600 AS t, round(avg(watts), 6) AS watts FROM readings GROUP BY ALL",
+    "on_intervals": f"""{FILLED_PAIRS} SELECT building, channel, rise_no, fall_no, round(transition, 6) AS transition, duration, start, "end" FROM pairs""",
+    "painted_scores": f"""{FILLED_PAIRS}, truth AS (SELECT building, channel, t, max(watts) AS watts FROM gappy GROUP BY ALL),
+      painted AS (SELECT r.*, EXISTS (SELECT 1 FROM pairs p WHERE p.building = r.building AND p.channel = r.channel AND r.t BETWEEN p.start AND p."end") AS "on" FROM truth r),
+      c AS (SELECT building, channel, count(*) FILTER ("on") AS n_predicted, count(*) FILTER (watts > 80) AS n_true, count(*) FILTER ("on" AND watts > 80) AS n_hit FROM painted GROUP BY ALL)
+      SELECT *, round(100.0 * n_hit / nullif(n_predicted, 0), 6) AS precision, round(100.0 * n_hit / nullif(n_true, 0), 6) AS recall FROM c""",
+    "labelled_pairs": f"""WITH {FILLED_EDGES}, {MATCHES}, {LABELLED},{_pairs("labelled", "label", True)}
+      SELECT building, label, rise_no, fall_no, round(transition, 6) AS transition, duration, start, "end" FROM pairs""",
     "pair_by_tolerance": f"""{TOLERANCE_PAIRS} SELECT building, channel, rise_no, fall_no, round(t1_w, 6) AS t1_w, round(t2_w, 6) AS t2_w, start, "end" FROM near_pairs""",
     "tolerance_shape": f"""{TOLERANCE_PAIRS} SELECT building, channel, rise_no, round((abs(t1_w) + abs(t2_w)) / 2, 6) AS height_w, "end" - start AS duration_s FROM near_pairs""",
     "pair_shape": f"""{PAIRS} SELECT building, channel, rise_no, round(transition, 6) AS height_w, "end" - start AS duration_s FROM pairs""",

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import encode_label
 from ..operators import edges, features, matching, metrics, painting, pairing, predict, prepare, train
-from ..operators.model import CLAUSES, Meta, included, load_model, model_footprint, save_model
+from ..operators.model import CLAUSES, Meta, included, load_model, model_footprint, save_model, training_footprint
 from ..sources.readings import melt, widen, with_sample_number
 from ..sources.shared import Scratch
 from ..streaming.edges import stream_resampled, stream_transitions
 from ..streaming.late import edges_with_late, late_counts, resampled_with_late, state_store
 from ..streaming.run import drain, drain_in_turns
-from .disaggregate import train_and_evaluate
+from .disaggregate import appliance_report, labelled_pairs, on_intervals, painted_scores, train_and_evaluate, train_save_evaluate
 
 CHANNELS = {"click": "main", "view": "fridge", "error": "microwave", "purchase": "dish washer", "signup": "electric furnace"}
 APPLIANCES = ["fridge", "microwave", "dish washer", "electric furnace"]
@@ -314,6 +314,43 @@ def q_train_and_evaluate(spark, sf_dir):
     return train_and_evaluate(_vectors(spark, sf_dir), "vec_id", 10, PARAMS, n_bits=1, exact=False)
 
 
+#: Settings among which each fold's model is chosen.
+GRID = [train.Params(n_clause=c, n_state=20, target=t, specificity=s, epochs=3) for c in (10, 20) for t, s in ((8, 3.0), (15, 6.0))]
+
+
+def q_train_grid(spark, sf_dir):
+    rows = features.booleanize_features(_vectors(spark, sf_dir), 1, 0.0, 1.0).withColumn("fold", F.pmod("vec_id", F.lit(4)))
+    found = train.train_grid(rows, ["fold"], "vec_id", 10, GRID)
+    return _rounded(found.select("fold", "setting", "n_train", "n_test", "accuracy", "best").distinct(), "accuracy")
+
+
+def q_train_save_evaluate(spark, sf_dir):
+    return train_save_evaluate(_vectors(spark, sf_dir), "vec_id", 10, PARAMS, Scratch(spark, "saved-model").path, n_bits=1)
+
+
+def q_training_footprint(spark, sf_dir):
+    states, _ = _saved(spark, sf_dir, "training")
+    return training_footprint(states)
+
+
+def q_on_intervals(spark, sf_dir):
+    return _rounded(on_intervals(_gappy(spark, sf_dir), NOISE_LEVEL, STATE_THRESHOLD, ORDER), "transition")
+
+
+def q_painted_scores(spark, sf_dir):
+    scores = painted_scores(_gappy(spark, sf_dir), noise_level=NOISE_LEVEL, state_threshold=STATE_THRESHOLD, order=ORDER)
+    return _rounded(scores, "precision", "recall")
+
+
+def q_labelled_pairs(spark, sf_dir):
+    return _rounded(labelled_pairs(_gappy(spark, sf_dir), APPLIANCES, TOLERANCE, NOISE_LEVEL, STATE_THRESHOLD, ORDER), "transition")
+
+
+def q_appliance_report(spark, sf_dir):
+    found = appliance_report(_gappy(spark, sf_dir), APPLIANCES, PARAMS, tolerance=TOLERANCE, noise_level=NOISE_LEVEL, state_threshold=STATE_THRESHOLD, order=ORDER)
+    return _rounded(found, "precision", "recall", "f1")
+
+
 def _saved(spark, sf_dir, form):
     scratch = Scratch(spark, "model")
     states = scratch.save(q_train_batched(spark, sf_dir), "states")

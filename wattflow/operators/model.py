@@ -94,9 +94,17 @@ def model_footprint(clauses: DataFrame) -> DataFrame:
     return clauses.agg((52 + 12 * F.count("*") + 2 * F.coalesce(F.sum(F.size("position")), F.lit(0))).cast("long").alias("n_bytes"), F.count("*").alias("n_clauses"))
 
 
+def training_footprint(states: DataFrame) -> DataFrame:
+    """Bytes that the training form takes on a device: a head of 52, 8 a clause and 4 a state."""
+    return states.agg((52 + 8 * F.count("*") + 4 * F.coalesce(F.sum(F.size("state")), F.lit(0))).cast("long").alias("n_bytes"), F.count("*").alias("n_clauses"))
+
+
 def to_arrays(clauses: DataFrame, n_feature: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """class, polarity and the included positive and negated literals (clauses x features) of a model of bounded size."""
-    rows = clauses.orderBy("class", "clause").select("class", "polarity", "n_pos", "position").limit(MOST_AUTOMATA).collect()
+    """class, polarity and the included positive and negated literals (clauses x features) of a model; a model of more than MOST_AUTOMATA automata is an error."""
+    n = clauses.count()
+    if 2 * n * n_feature > MOST_AUTOMATA:
+        raise ValueError(f"{n} clauses of {n_feature} features are more than {MOST_AUTOMATA} automata")
+    rows = clauses.orderBy("class", "clause").select("class", "polarity", "n_pos", "position").collect()
     p, n = np.zeros((len(rows), n_feature), np.float32), np.zeros((len(rows), n_feature), np.float32)
     for i, row in enumerate(rows):
         p[i, row["position"][: row["n_pos"]]] = 1
