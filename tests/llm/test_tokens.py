@@ -51,12 +51,39 @@ def test_counts(spark, make_docs):
 def test_elias_fano_round_trip(values):
     values = sorted(values)
     coded, end = EliasFano.from_bytes(b"xx" + EliasFano.encode(np.array(values, np.uint64)).to_bytes(), 2)
-    assert coded.decode().tolist() == values
+    assert coded.between(0, len(values)).tolist() == values
+    for a in range(0, len(values) + 1, max(1, len(values) // 7)):
+        for b in (a, a + 1, a + 255, a + 256, a + 700, len(values)):
+            if a <= b <= len(values):
+                assert coded.between(a, b).tolist() == values[a:b]
     assert [coded.select(i) for i in range(len(values))] == values
     with pytest.raises(IndexError):
         coded.select(len(values))
 
 
+def test_elias_fano_packs_in_lots(monkeypatch):
+    from wattflow.llm import elias_fano
+
+    values = np.cumsum(np.random.default_rng(4).integers(0, 90, 1000)).tolist()
+    whole = EliasFano.encode(np.array(values)).to_bytes()
+    monkeypatch.setattr(elias_fano, "LOT", 64)
+    assert EliasFano.encode(np.array(values)).to_bytes() == whole
+
+
+def test_boundaries_are_read_by_lots(monkeypatch):
+    """A reader that holds the offsets of one lot of documents, rows without an id first."""
+    import struct
+
+    ids, ends = np.arange(0, 3000, 3), np.cumsum(np.random.default_rng(5).integers(1, 60, 1007))
+    data = struct.pack(token_files.HEAD, 7, -100, 2) + EliasFano.encode(ids).to_bytes() + EliasFano.encode(ends).to_bytes()
+    for lot in (4, 300, 4096):
+        monkeypatch.setattr(token_files, "LOT_DOCS", lot)
+        width, lots = token_files.documents_of(data)
+        rows = [(i, a, b) for names, starts, stops in lots for i, a, b in zip(names, starts.tolist(), stops.tolist(), strict=True)]
+        assert width == 2 and [r[0] for r in rows] == [None] * 7 + (ids - 100).tolist()
+        assert [r[1:] for r in rows] == list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+
+
 def test_elias_fano_is_small():
     ends = np.cumsum(np.random.default_rng(0).integers(1, 1000, 10_000)).astype(np.uint64)
     assert len(EliasFano.encode(ends).to_bytes()) < 10_000 * 12 / 8

@@ -9,6 +9,8 @@ import numpy as np
 MAGIC = b"EFB1"
 #: Every so many set bits the place of one is kept, so that select reads a short stretch of the upper bits.
 SAMPLE = 256
+#: Numbers whose low bits are packed at once; a multiple of 8, so that lots end at whole bytes.
+LOT = 1 << 16
 _HEAD = struct.Struct("<4sQQB")
 
 
@@ -27,7 +29,8 @@ class EliasFano:
         top = int(values[-1]) if n else 0
         low_bits = max(0, (top // n).bit_length() - 1) if n else 0
         shifts = np.arange(low_bits, dtype=np.uint64)
-        low = np.packbits(((values[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
+        low = [np.packbits(((values[a : a + LOT, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") for a in range(0, n, LOT)]
+        low = np.concatenate([np.zeros(0, np.uint8), *low])
         at = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros(n + (top >> low_bits) + 1, np.uint8)
         bits[at] = 1
@@ -73,8 +76,15 @@ class EliasFano:
         place = base + int(ones[left])
         return (place - i) << self.low_bits | int(self._low(np.array([i]))[0])
 
-    def decode(self) -> np.ndarray:
-        """All numbers."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        i = np.arange(self.n)
+    def between(self, first: int, last: int) -> np.ndarray:
+        """The numbers from the first-th to before the last-th, by select on the stretch of upper bits between two samples."""
+        if not 0 <= first <= last <= self.n:
+            raise IndexError((first, last))
+        if first == last:
+            return np.zeros(0, np.uint64)
+        begin, behind = int(self.samples[first // SAMPLE]), (last - 1) // SAMPLE + 1
+        end = int(self.samples[behind]) if behind < len(self.samples) else len(self.high) * 8
+        ones = np.flatnonzero(np.unpackbits(self.high[begin // 8 : (end + 7) // 8], bitorder="little"))
+        ones = ones[np.searchsorted(ones, begin % 8) :][first % SAMPLE : first % SAMPLE + last - first] + begin // 8 * 8
+        i = np.arange(first, last)
         return (ones - i).astype(np.uint64) << np.uint64(self.low_bits) | self._low(i)

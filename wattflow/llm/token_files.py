@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,10 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: A shard is closed after so many ids.
 SHARD_TOKENS = 64_000_000
+#: Or after so many documents, which bounds what a task holds of their ids and ends until it codes them.
+SHARD_DOCS = 4_000_000
+#: Documents that are read at once.
+LOT_DOCS = 4096
 MANIFEST = "part int, shard int, n_docs long, n_tokens long, ids string, efb string"
 HEAD = "<QqB"  # rows without a document id, smallest document id, bytes of an id
 
@@ -38,24 +43,25 @@ class _Shard:
         self.part, self.number, self.width = part, number, width
         self.ids_name, self.efb_name = (f"{path}/{unique(f'part-{part:06d}-{number:04d}', x)}" for x in (".ids", ".efb"))
         self.out = self.system.open_output_stream(self.ids_name)
-        self.docs: list[int | None] = []
-        self.ends: list[int] = []
+        self.nulls, self.docs, self.ends = 0, array("q"), array("q")
 
     def add(self, doc: int | None, ids: np.ndarray) -> None:
         self.out.write(ids.astype("<u2" if self.width == 2 else "<u4").tobytes())
-        self.docs.append(doc)
+        if doc is None:
+            self.nulls += 1
+        else:
+            self.docs.append(doc)
         self.ends.append((self.ends[-1] if self.ends else 0) + len(ids))
 
     def close(self) -> tuple:
         self.out.close()
-        nulls = sum(x is None for x in self.docs)
-        known = np.array(self.docs[nulls:], np.int64)
+        known = np.frombuffer(self.docs, np.int64)
         least = int(known[0]) if len(known) else 0
         with self.system.open_output_stream(self.efb_name) as f:
-            f.write(struct.pack(HEAD, nulls, least, self.width))
+            f.write(struct.pack(HEAD, self.nulls, least, self.width))
             f.write(EliasFano.encode((known - least).astype(np.uint64)).to_bytes())
-            f.write(EliasFano.encode(np.array(self.ends, np.uint64)).to_bytes())
-        return self.part, self.number, len(self.docs), self.ends[-1] if self.ends else 0, self.ids_name, self.efb_name
+            f.write(EliasFano.encode(np.frombuffer(self.ends, np.int64).astype(np.uint64)).to_bytes())
+        return self.part, self.number, len(self.ends), self.ends[-1] if self.ends else 0, self.ids_name, self.efb_name
 
 
 def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -74,7 +80,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
                 if shard is None:
                     shard, number = _Shard(folder, part, number, width), number + 1
                 shard.add(doc, np.concatenate([np.frombuffer(ids, np.uint32), last]))
-                if shard.ends[-1] >= shard_tokens:
+                if shard.ends[-1] >= shard_tokens or len(shard.ends) >= SHARD_DOCS:
                     done.append(shard.close())
                     shard = None
         if shard is not None:
@@ -86,10 +92,28 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     return dealt.mapInArrow(write, MANIFEST)
 
 
+def documents_of(boundaries: bytes) -> tuple[int, Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]]:
+    """Bytes of an id in a shard, and its documents by lots: ids, and the ends before and after each, by select on the coded boundaries."""
+    nulls, least, width = struct.unpack_from(HEAD, boundaries)
+    ids, at = EliasFano.from_bytes(boundaries, struct.calcsize(HEAD))
+    ends, _ = EliasFano.from_bytes(boundaries, at)
+
+    def lots() -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+        for a in range(0, ends.n, LOT_DOCS):
+            b = min(ends.n, a + LOT_DOCS)
+            stops = ends.between(a, b).astype(np.int64)
+            before = np.array([ends.select(a - 1) if a else 0], np.int64)
+            known = ids.between(max(0, a - nulls), max(0, b - nulls)).astype(np.int64) + least
+            yield [None] * (b - a - len(known)) + known.tolist(), np.concatenate([before, stops[:-1]]), stops
+
+    return width, lots()
+
+
 def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """From the files: id, start (ids of all documents before it), n_tokens, ids_crc32 of the ids as unsigned 32-bit numbers, ids.
 
-    Each shard is read by one task, document by document.
+    Each shard is read by one task, document by document. Of its boundaries the task holds the coded bytes and the
+    offsets of one lot of documents.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,23 +121,16 @@ def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
             for row in batch.to_pylist():
                 system, _ = opened(row["efb"].rpartition("/")[0])
                 with system.open_input_stream(row["efb"]) as f:
-                    data = f.read()
-                nulls, least, width = struct.unpack_from(HEAD, data)
-                ids, at = EliasFano.from_bytes(data, struct.calcsize(HEAD))
-                ends, _ = EliasFano.from_bytes(data, at)
-                names = [None] * nulls + (ids.decode().astype(np.int64) + least).tolist()
-                stops = ends.decode().astype(np.int64)
-                starts = np.concatenate([np.zeros(1, np.int64), stops[:-1]])
+                    width, lots = documents_of(f.read())
                 with system.open_input_stream(row["ids"], buffer_size=1 << 20) as f:
-                    for lot in range(0, len(names), 4096):
+                    for names, starts, stops in lots:
                         crcs = []
-                        for n in (stops - starts)[lot : lot + 4096].tolist():
+                        for n in (stops - starts).tolist():
                             part = np.frombuffer(f.read(n * width), "<u2" if width == 2 else "<u4")
                             if len(part) != n:
                                 raise ValueError(f"{row['ids']} is cut short")
                             crcs.append(zlib.crc32(part.astype("<u4").tobytes()))
-                        of = slice(lot, lot + 4096)
-                        yield pa.RecordBatch.from_arrays([pa.array(names[of], pa.int64()), pa.array(starts[of] + row["base"]), pa.array((stops - starts)[of]), pa.array(crcs, pa.int64())], ["doc", "start", "n_tokens", "ids_crc32"])
+                        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(starts + row["base"]), pa.array(stops - starts), pa.array(crcs, pa.int64())], ["doc", "start", "n_tokens", "ids_crc32"])
 
     order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     based = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).cast("long"))
