@@ -1,7 +1,8 @@
 """Toxicity by maximum-scoring segments.
 
 Tokens (words, and the first 4 or 6 bytes of longer words) get log-odds between toxic and other labelled texts, with a
-Dirichlet prior that follows the counts of all documents. Every other word costs a small drift. A linear scan over a
+Dirichlet prior that follows the counts of all documents. A word has the largest odds of its tokens that speak for
+toxicity, else the least of those that speak against it; every other word costs a small drift. A linear scan over a
 text's words finds all maximal scoring segments. As scores of such segments follow an extreme-value law, a segment's
 expected number in other text of that length is K * n * exp(-lambda * score); segments that are unlikely enough are the
 toxic passages. A logistic curve over the largest and the summed normalised scores gives the text's score.
@@ -25,14 +26,12 @@ from .scratch import Scratch
 MOST_LABELLED = 100_000
 #: Bound of the sample of labelled rows that the curve is fitted on.
 MOST_FITTED = 40_000
-#: Bound of the tokens that are weighed, the most telling first.
-MOST_TOKENS = 20_000
-#: A token must stand in so many toxic labelled texts.
+#: Weights go to the tasks; more tokens than these (32 MB) are an error, never cut. A sample of MOST_LABELLED rows bounds them.
+MOST_WEIGHTS = 2_000_000
+#: A token that speaks for toxicity must stand in so many toxic labelled texts.
 LEAST_SEEN = 3
 #: A token's log-odds must be so many standard deviations from 0.
 LEAST_Z = 2.5
-#: A text counts a token so often at most: a word that one text repeats on and on tells little.
-MOST_IN_TEXT = 3
 #: A token must be the most telling one of so many toxic labelled texts, and of so many for each other text.
 LEAST_CREDIT, LEAST_SHARE = 2, 0.25
 DRIFT = 0.05
@@ -94,7 +93,10 @@ def extreme_value_rate(weights: np.ndarray, chances: np.ndarray) -> float:
 
 
 def _count(docs: DataFrame, known=None) -> DataFrame:
-    """Token counts by label (column y, null: 0), a text counting MOST_IN_TEXT at most: token, in toxic, in others; of the known tokens (a broadcast) or all. Token 0 counts the words."""
+    """Token counts by label (column y, null: 0): token, in toxic, in others; of the known tokens (a broadcast) or all. Token 0 counts the words.
+
+    A text that has a token n times counts 1 + floor(log2(n)): a word that one text repeats on and on tells less each time.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,12 +112,14 @@ def _count(docs: DataFrame, known=None) -> DataFrame:
                 values, of_text = values[keep], of_text[keep]
                 order = np.lexsort((of_text, values))
                 values, of_text = values[order], of_text[order]
-                new = np.ones(len(values), bool)
-                new[MOST_IN_TEXT:] = (values[MOST_IN_TEXT:] != values[:-MOST_IN_TEXT]) | (of_text[MOST_IN_TEXT:] != of_text[:-MOST_IN_TEXT])
-                values, y = values[new], toxic[of_text[new]]
+                fresh = np.ones(len(values), bool)
+                fresh[1:] = (values[1:] != values[:-1]) | (of_text[1:] != of_text[:-1])
+                begins = np.flatnonzero(fresh)
+                worth = np.frexp(np.diff(np.append(begins, len(values))).astype(float))[1].astype(np.int64)  # 1 + floor(log2)
+                values, y = values[begins], toxic[of_text[begins]]
                 first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-                ys = np.add.reduceat(y.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-                all_n = np.diff(np.concatenate([first, [len(values)]]))
+                ys = np.add.reduceat(y * worth, first) if len(first) else np.zeros(0, np.int64)
+                all_n = np.add.reduceat(worth, first) if len(first) else np.zeros(0, np.int64)
                 names = np.concatenate([values[first].view(np.int64), [0]])
                 of = np.repeat(toxic, np.diff(found.bounds))
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate([ys, [int(of.sum())]])), pa.array(np.concatenate([all_n - ys, [int((~of).sum())]]))], ["token", "toxic", "other"])
@@ -141,12 +145,13 @@ class Weights:
 
 
 def _worth(rows: np.ndarray, known: Weights) -> np.ndarray:
-    """For each word the weight of the most telling of its tokens, 0 without one."""
-    value = np.zeros(rows.shape[1])
+    """For each word the largest weight of its tokens that speak for toxicity, else the least of those against it, 0 without one."""
+    most, least = np.zeros(rows.shape[1]), np.zeros(rows.shape[1])
     for row in rows:
         at = np.flatnonzero(_isin(row, known.names))
-        value[at] = np.maximum(value[at], known.values[np.searchsorted(known.names, row[at])])
-    return value
+        own = known.values[np.searchsorted(known.names, row[at])]
+        most[at], least[at] = np.maximum(most[at], own), np.minimum(least[at], own)
+    return np.where(most > 0, most, least)
 
 
 def _credit(labelled: DataFrame, weights) -> DataFrame:
@@ -168,6 +173,20 @@ def _credit(labelled: DataFrame, weights) -> DataFrame:
     return labelled.select("text", "y").mapInArrow(credit, "token long, toxic long, other long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
+def _worths(labelled: DataFrame, weights) -> DataFrame:
+    """How many words of other texts have each weight (in thousandths), 0 being those without a token."""
+
+    def worth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in W.pieces(batch, "text"):
+                data, places = W.column_bytes(piece.column(0))
+                found = W.words(data, places, W.ALPHANUMERIC)
+                values, n = np.unique(np.rint(_worth(tokens(found, data), weights.value) * 1000).astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], ["worth", "n"])
+
+    return labelled.where("y <= 0").select("text").mapInArrow(worth, "worth long, n long").groupBy("worth").agg(F.sum("n").alias("n"))
+
+
 def learn(spark: SparkSession, docs: DataFrame, labelled: DataFrame) -> Weights:
     """Weigh tokens: labelled (text, y) gives the odds, docs (text) the prior. Only bounded tables come to the driver."""
     counts = _count(labelled)
@@ -177,21 +196,26 @@ def learn(spark: SparkSession, docs: DataFrame, labelled: DataFrame) -> Weights:
         return Weights(np.zeros(0, np.uint64), np.zeros(0), 1.0)
     share = (F.col("toxic") + F.col("other")) / F.lit(n_toxic + n_other)
     odds, z = log_odds(F.col("toxic"), F.col("other"), F.lit(float(n_toxic)), F.lit(float(n_other)), F.lit(float(n_toxic)) * share)
-    best = counts.where(f"token != 0 and toxic >= {LEAST_SEEN}").withColumn("z", z).where(F.col("z") >= LEAST_Z / 2).orderBy(F.desc("z"), "token").limit(MOST_TOKENS).toPandas()
-    names = np.sort(best["token"].to_numpy(np.int64).view(np.uint64))
-    corpus = _count(docs.withColumn("y", F.lit(0)), spark.sparkContext.broadcast(names)).toPandas().set_index("token")["other"]
+    telling = ((F.col("z") >= LEAST_Z / 2) & (F.col("toxic") >= LEAST_SEEN)) | (F.col("z") <= -LEAST_Z / 2)
+    best = counts.where("token != 0").withColumn("z", z).where(telling).select("token", "toxic", "other").orderBy("token")
+    if (many := best.count()) > MOST_WEIGHTS:
+        raise ValueError(f"{many} tokens tell, more than {MOST_WEIGHTS}")
+    best = best.toPandas()
+    names = best["token"].to_numpy(np.int64).view(np.uint64)
+    corpus = _count(docs.withColumn("y", F.lit(0)), spark.sparkContext.broadcast(np.sort(names))).toPandas().set_index("token")["other"]
     n_all = int(corpus.get(0, 0))
-    in_all = np.array([corpus.get(int(x), 0) for x in best["token"]], float)
+    in_all = corpus.reindex(best["token"]).fillna(0).to_numpy(float)
     odds, z = log_odds(best["toxic"].to_numpy(float), best["other"].to_numpy(float), float(n_toxic), float(n_other), np.maximum(n_toxic * in_all / max(n_all, 1), 1e-3))
-    keep = (z >= LEAST_Z) & (odds > 0)
-    told = Weights(best["token"].to_numpy(np.int64)[keep].view(np.uint64), odds[keep], 1.0)
+    against, speaks = (z <= -LEAST_Z) & (odds < 0), (z >= LEAST_Z) & (odds > 0)
+    told = Weights(names[speaks], odds[speaks], 1.0)
     credit = _credit(labelled, spark.sparkContext.broadcast(told)).toPandas()  # a row for each weighed token at most
     fair = credit[(credit["toxic"] >= LEAST_CREDIT) & (credit["toxic"] >= LEAST_SHARE * credit["other"])]["token"].to_numpy(np.int64).view(np.uint64)
-    keep &= np.isin(best["token"].to_numpy(np.int64).view(np.uint64), fair)
-    values, names = odds[keep], best["token"].to_numpy(np.int64)[keep].view(np.uint64)
-    chances = np.maximum(best["other"].to_numpy(float)[keep], 0.5) / n_other
-    law = extreme_value_rate(np.concatenate([values, [-DRIFT]]), np.concatenate([chances, [max(0.0, 1 - chances.sum())]]))
-    return Weights(names, values, law)
+    keep = against | (speaks & np.isin(names, fair))
+    found = Weights(names[keep], odds[keep], 1.0)
+    worths = _worths(labelled, spark.sparkContext.broadcast(found)).toPandas()
+    values = np.where(worths["worth"] == 0, -DRIFT, worths["worth"] / 1000)
+    found.rate = extreme_value_rate(values, (worths["n"] / worths["n"].sum()).to_numpy(float)) if len(worths) else 1.0
+    return found
 
 
 def find_segments(docs: DataFrame, weights) -> DataFrame:
