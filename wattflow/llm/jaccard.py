@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import connected_components
+from .memory import lean
 from .scratch import Scratch
 
 SHINGLE = 5
@@ -37,6 +38,8 @@ BLOCK = 512
 #: Ids are broadcast up to this number, else joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 POSTINGS_LOT = 500_000
+#: Classes whose number of pairs is broadcast, where others are dealt by class.
+MOST_HUBS = 20_000
 #: Bits of a signature for sets of much the same size.
 BITS = 2048
 #: Bits for each shingle of a signature that is shuffled, made up to a power of two. Sets of a similarity under 0.6 rarely pass.
@@ -104,8 +107,13 @@ def _survey(docs: DataFrame, shingle: int) -> DataFrame:
         lot, size = [], 0
 
         def often() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(lot), return_counts=True)
-            values, counts = values[counts >= OFTEN], counts[counts >= OFTEN]
+            values = np.concatenate(lot)
+            lot.clear()
+            values.sort()
+            begins = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+            counts = np.diff(np.append(begins, len(values)))
+            begins, counts = begins[counts >= OFTEN], counts[counts >= OFTEN]
+            values = values[begins]
             n = len(values)
             return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(counts.astype(np.int64)), pa.array(values.view(np.int64)), pa.nulls(n, pa.int64())], names)
 
@@ -118,7 +126,7 @@ def _survey(docs: DataFrame, shingle: int) -> DataFrame:
                 size += len(values)
                 if size >= LOT_SHINGLES:
                     yield often()
-                    lot, size = [], 0
+                    size = 0
         if size:
             yield often()
 
@@ -248,7 +256,7 @@ def _meet(postings: DataFrame, percent: int) -> DataFrame:
         rows = np.concatenate(rows, axis=1)
         return pa.table([pa.array(rows[0].astype(np.int32)), *(pa.array(x) for x in rows[1:])], ["kind", "a", "b", "n_a", "n_b"])
 
-    return postings.groupBy("bucket").applyInArrow(meet, FOUND)
+    return postings.groupBy("bucket").applyInArrow(lean(meet), FOUND)
 
 
 def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -278,7 +286,11 @@ def _hubs(possible: DataFrame, large: DataFrame) -> DataFrame:
     pairs = possible.join(_near_by(large.select(F.col("class").alias("a"))), "a", "left_semi")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degrees = both.groupBy("b").agg(F.count("*").alias("degree"))
-    own = both.join(degrees, "b").groupBy("a").agg(F.max(F.struct("degree", "b")).alias("hub"))
+    # Degrees of the classes with the most pairs, fewer than MOST_HUBS by what they sum up to, are broadcast; no key of the others is long.
+    most = F.lit(both.count() / MOST_HUBS)
+    top = F.broadcast(degrees.where(F.col("degree") > most))
+    with_degree = both.join(top, "b").unionByName(both.join(top, "b", "left_anti").join(degrees.where(F.col("degree") <= most), "b"))
+    own = with_degree.groupBy("a").agg(F.max(F.struct("degree", "b")).alias("hub"))
     own = own.select(F.col("a").alias("class"), F.col("hub.b").alias("hub"), F.pmod(F.xxhash64("a"), F.ceil(F.col("hub.degree") / F.lit(BLOCK))).alias("salt"))
     tiles = own.unionByName(own.select(F.col("hub").alias("class"), "hub", "salt").distinct())
     return tiles.select(F.xxhash64("hub", "salt").alias("code"), "class").distinct()

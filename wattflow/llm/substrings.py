@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .components import connected_components
 from .jaccard import POSTINGS, POSTINGS_LOT, _meet, _near_by, _with_ids, classes_of, linked_roots
+from .memory import lean
 from .scratch import Scratch
 
 SHINGLE = 5
@@ -175,7 +176,7 @@ def _shared(packed: DataFrame) -> DataFrame:
         rows = np.concatenate([np.flatnonzero(covered), np.flatnonzero(asked)])
         return pa.table([pa.array(docs[rows]), pa.array(places[rows]), pa.array(kept[rows], mask=np.arange(len(rows)) >= covered.sum())], ["doc", "w0", "kept"])
 
-    return packed.groupBy("bucket").applyInArrow(meet, "doc long, w0 int, kept long")
+    return packed.groupBy("bucket").applyInArrow(lean(meet), "doc long, w0 int, kept long")
 
 
 def _islands(spans: DataFrame, kept, *more) -> DataFrame:
@@ -236,10 +237,16 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _stretches(windows: DataFrame, window: int) -> DataFrame:
-    """For each anchor the words of its windows that a document of a smaller id has as well; they all overlap. The sort and the counts need no further shuffle."""
-    each = windows.repartition("key").select("key", "doc", F.col("w0").alias("first"), F.posexplode(F.arrays_zip("prints", "starts", "stops")).alias("at", "of"))
+    """For each anchor the words of its windows that a document of a smaller id has as well; they all overlap.
+
+    The least document of a window is found by a grouping that combines before it shuffles, and windows of one document
+    go no further. Windows are joined with it by anchor and words, so that a common anchor is dealt over all tasks by
+    what surrounds it; a common window is split where the join is skewed, as only a grouping follows.
+    """
+    each = windows.select("key", "doc", F.col("w0").alias("first"), F.posexplode(F.arrays_zip("prints", "starts", "stops")).alias("at", "of"))
     each = each.select("key", "doc", "first", (F.col("first") + F.col("at")).alias("w0"), "of.*")
-    kept = each.withColumn("kept", F.min("doc").over(Window.partitionBy("key", "prints"))).where("doc != kept")
+    least = each.groupBy("key", "prints").agg(F.min("doc").alias("kept"), F.max("doc").alias("last")).where("kept < last").drop("last")
+    kept = each.join(least, ["key", "prints"]).where("doc != kept")
     span = [F.min("w0").alias("w0"), (F.max("w0") + F.lit(window)).alias("w1"), F.min("starts").alias("b0"), F.max("stops").alias("b1"), F.collect_set("kept").alias("kept")]
     return kept.groupBy("key", "doc", "first").agg(*span).drop("key", "first")
 

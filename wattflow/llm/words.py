@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from .memory import give_back
+
 #: Bytes handled at once; longer stretches are cut between words.
 STRETCH = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
@@ -125,7 +127,7 @@ def windows(found: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = 1_000_000):
-    """Slices of a batch whose texts have together at most so many bytes (or one text)."""
+    """Slices of a batch whose texts have together at most so many bytes (or one text). Behind the last, free memory is given back."""
     data = batch.column(batch.schema.get_field_index(column))
     places = column_bytes(data)[1]
     at = 0
@@ -133,3 +135,4 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 1_000_000):
         to = max(at + 1, int(np.searchsorted(places, places[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    give_back()
