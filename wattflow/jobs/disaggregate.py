@@ -12,24 +12,33 @@ from ..operators import edges, features, matching, metrics, painting, pairing, p
 from ..operators.model import FORMS, Meta, included, load_model, save_model
 
 
-def on_intervals(readings: DataFrame, noise_level: float = 80.0, state_threshold: float = 15.0, order: Sequence[str] = ("t",)) -> DataFrame:
-    """Readings through back-fill, edges and pairing: one shuffle of readings on (building, channel)."""
-    filled = prepare.backfill(readings, order=order)
-    return pairing.pair_edges(edges.transitions(filled, noise_level, state_threshold, order=order))
+#: Edges of a chunk when series are cut into chunks.
+CHUNK_EDGES = 10_000
 
 
-def painted_scores(readings: DataFrame, threshold: float = 80.0, **how) -> DataFrame:
-    """How well the painted on-intervals agree with the readings' own on/off state."""
-    painted = painting.paint_intervals(readings.select("building", "channel", "t", "watts"), on_intervals(readings, **how))
+def on_intervals(readings: DataFrame, noise_level: float = 80.0, state_threshold: float = 15.0, order: Sequence[str] = ("t",), chunk: float | None = None, chunk_edges: int = CHUNK_EDGES) -> DataFrame:
+    """Readings through back-fill, edges and pairing: one shuffle of readings on (building, channel).
+
+    With chunk, in units of order's first column, each series is as many tasks as it has stretches of that length, and
+    its edges are paired in chunks of chunk_edges.
+    """
+    filled = prepare.backfill(readings, order=order, chunk=chunk)
+    found = edges.transitions(filled, noise_level, state_threshold, order=order, chunk=chunk)
+    return pairing.pair_edges(found, chunk=None if chunk is None else chunk_edges)
+
+
+def painted_scores(readings: DataFrame, threshold: float = 80.0, chunk: float | None = None, **how) -> DataFrame:
+    """How well the painted on-intervals agree with the readings' own on/off state (chunk: see on_intervals; in t)."""
+    painted = painting.paint_intervals(readings.select("building", "channel", "t", "watts"), on_intervals(readings, chunk=chunk, **how), chunk=chunk)
     return painting.score_on_off(painted.select("building", "channel", "t", F.col("on").alias("value")).distinct(), readings.groupBy("building", "channel", "t").agg(F.max("watts").alias("watts")), threshold=threshold)
 
 
-def labelled_pairs(readings: DataFrame, appliances: Sequence[str], tolerance: int = matching.TOLERANCE, noise_level: float = 80.0, state_threshold: float = 15.0, order: Sequence[str] = ("t",), main: str = "main") -> DataFrame:
-    """Main-meter edges labelled by the appliance edges they overlap, paired by label."""
-    found = edges.transitions(prepare.backfill(readings, order=order), noise_level, state_threshold, order=order)
+def labelled_pairs(readings: DataFrame, appliances: Sequence[str], tolerance: int = matching.TOLERANCE, noise_level: float = 80.0, state_threshold: float = 15.0, order: Sequence[str] = ("t",), main: str = "main", chunk: float | None = None, chunk_edges: int = CHUNK_EDGES) -> DataFrame:
+    """Main-meter edges labelled by the appliance edges they overlap, paired by label (chunk: see on_intervals)."""
+    found = edges.transitions(prepare.backfill(readings, order=order, chunk=chunk), noise_level, state_threshold, order=order, chunk=chunk)
     of_main, of_app = found.where(F.col("channel") == main), found.where(F.col("channel").isin(list(appliances)))
-    labelled = matching.label_main_edges(of_main, matching.match_edges(of_main, of_app, tolerance, ordered=True), appliances)
-    return pairing.pair_outermost(labelled)
+    labelled = matching.label_main_edges(of_main, matching.match_edges(of_main, of_app, tolerance, ordered=True, chunk=chunk), appliances)
+    return pairing.pair_outermost(labelled, chunk=None if chunk is None else chunk_edges)
 
 
 def train_and_evaluate(df: DataFrame, id_col: str, n_class: int, params: train.Params, n_bits: int = 4, test_size: float = 0.2, exact: bool = True) -> DataFrame:

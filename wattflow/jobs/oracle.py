@@ -188,6 +188,13 @@ ORACLE_SQL = {
     "fill_zero": f"WITH {_GAPPY} SELECT building, channel, t, seq, coalesce(watts, 0) AS watts FROM gappy",
     "transitions": f"""WITH {EDGES} SELECT building, channel, edge_no, round(transition, 6) AS transition, duration, "end", start FROM edges""",
     "transition_samples": f"WITH {EDGES} SELECT building, channel, edge_no, duration AS n_samples, round(total, 4) AS total_watts FROM edges",
+    "transition_sequence": f"""WITH {EDGES}, items AS (
+        SELECT building, channel, edge_no, i, k, m_before FROM r8, (VALUES (0), (1)) v(k) WHERE CASE k WHEN 0 THEN x ELSE c_before END)
+      SELECT building, channel, edge_no, md5(coalesce(string_agg(CAST(CAST(round(m_before * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY i, k), '')) AS sequence_md5
+      FROM edges LEFT JOIN items USING (building, channel, edge_no) GROUP BY ALL""",
+    "match_counts": f"""WITH {EDGES}, {MATCHES},
+      own AS (SELECT e.building, e.channel, m.main_edge IS NOT NULL AS matched FROM edges e LEFT JOIN matches m USING (building, channel, edge_no) WHERE e.channel <> 'main')
+      SELECT building, channel, count(*) AS n_edges, count(*) FILTER (matched) AS n_matched, count(*) FILTER (NOT matched) AS n_not_found FROM own GROUP BY ROLLUP (building, channel)""",
     "steady_states": f"""WITH {EDGES} SELECT building, channel, "end" AS t, round(active_average, 6) AS active_average FROM edges""",
     "pair_edges": f"""{PAIRS} SELECT building, channel, rise_no, fall_no, round(transition, 6) AS transition, duration, start, "end" FROM pairs""",
     "edge_counts": f"""{PAIRS}, counts AS (
@@ -255,4 +262,5 @@ ORACLE_SQL = {
 #: Series cut into chunks, and buckets in place of a sweep, give what the plain forms give.
 ORACLE_SQL |= {name: ORACLE_SQL[name.split("_by_")[0]] for name in (
     "transitions_by_chunks", "steady_states_by_chunks", "pair_edges_by_chunks", "pair_outermost_by_chunks", "match_edges_by_chunks", "match_edges_by_buckets", "backfill_by_chunks", "paint_intervals_by_chunks",
+    "on_intervals_by_chunks", "painted_scores_by_chunks", "labelled_pairs_by_chunks",
 )}

@@ -147,6 +147,13 @@ def q_transition_samples(spark, sf_dir):
     return found.select("building", "channel", "edge_no", F.size("sequence").alias("n_samples"), F.round(total, 4).alias("total_watts"))
 
 
+def q_transition_sequence(spark, sf_dir):
+    """The samples of each edge in their order, in millionths."""
+    found = edges.transitions(readings(spark, sf_dir), NOISE_LEVEL, STATE_THRESHOLD, order=ORDER, with_sequence=True)
+    items = F.transform("sequence", lambda x: F.round(x * 1_000_000).cast("long").cast("string"))
+    return found.select("building", "channel", "edge_no", F.md5(F.array_join(items, ",")).alias("sequence_md5"))
+
+
 def q_steady_states(spark, sf_dir):
     return _rounded(edges.steady_states(readings(spark, sf_dir), NOISE_LEVEL, STATE_THRESHOLD, order=ORDER), "active_average")
 
@@ -208,6 +215,11 @@ def q_unmatched_edges(spark, sf_dir):
     return matching.unmatched_edges(found.where("channel != 'main'"), _matches(found)).select("building", "channel", "edge_no")
 
 
+def q_match_counts(spark, sf_dir):
+    found = _edges(spark, sf_dir)
+    return matching.match_counts(found.where("channel != 'main'"), _matches(found))
+
+
 def q_label_main_edges(spark, sf_dir):
     return _labelled(spark, sf_dir).select("building", "edge_no", *(F.col(f"`{a}_label`").alias(f"{a.replace(' ', '_')}_label") for a in APPLIANCES), "label")
 
@@ -337,6 +349,20 @@ def q_on_intervals(spark, sf_dir):
     return _rounded(on_intervals(_gappy(spark, sf_dir), NOISE_LEVEL, STATE_THRESHOLD, ORDER), "transition")
 
 
+def q_on_intervals_by_chunks(spark, sf_dir):
+    return _rounded(on_intervals(_gappy(spark, sf_dir), NOISE_LEVEL, STATE_THRESHOLD, ORDER, CHUNK_SECONDS, CHUNK_EDGES), "transition")
+
+
+def q_painted_scores_by_chunks(spark, sf_dir):
+    scores = painted_scores(_gappy(spark, sf_dir), chunk=CHUNK_SECONDS, chunk_edges=CHUNK_EDGES, noise_level=NOISE_LEVEL, state_threshold=STATE_THRESHOLD, order=ORDER)
+    return _rounded(scores, "precision", "recall")
+
+
+def q_labelled_pairs_by_chunks(spark, sf_dir):
+    found = labelled_pairs(_gappy(spark, sf_dir), APPLIANCES, TOLERANCE, NOISE_LEVEL, STATE_THRESHOLD, ORDER, chunk=CHUNK_SECONDS, chunk_edges=CHUNK_EDGES)
+    return _rounded(found, "transition")
+
+
 def q_painted_scores(spark, sf_dir):
     scores = painted_scores(_gappy(spark, sf_dir), noise_level=NOISE_LEVEL, state_threshold=STATE_THRESHOLD, order=ORDER)
     return _rounded(scores, "precision", "recall")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import booleanize_array
+from ..sources.shared import Scratch
 
 
 def feature_stats(df: DataFrame, per_feature: bool = False) -> DataFrame:
@@ -30,19 +31,19 @@ def pseudo_random(seed: int, *columns: str) -> Column:
 def global_rank(df: DataFrame, order: Sequence[Column], to: str = "rank") -> DataFrame:
     """Rows numbered from 1 in a total order, without one task for all of them.
 
-    Rows are dealt by ranges of the order and numbered within each partition; a table of a row for each partition, its
-    bound, holds what lies before it. The dealt rows are read twice, so their partitions must not depend on a rerun:
-    the order has to be total.
+    Rows are dealt by ranges of the order and sorted; a row's number within its task is what an ascending id gives. The
+    dealt rows are saved once in the shared folder, and a table of a row for each task, its bound, holds what lies
+    before it.
     """
     names = [f"_o{i}" for i in range(len(order))]
     keyed = df.withColumns(dict(zip(names, order, strict=True)))
-    dealt = keyed.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("_part", F.spark_partition_id())
-    dealt = dealt.persist()
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    dealt = keyed.repartitionByRange(*names).sortWithinPartitions(*names).drop(*names).withColumn("_at", F.monotonically_increasing_id())
+    dealt = Scratch(df.sparkSession, "rank").save(dealt, "rows")
+    part, local = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*names))
-    return dealt.withColumn("_local", local).join(F.broadcast(offsets), "_part").withColumn(to, F.col("_before") + F.col("_local")).drop("_part", "_before", "_local", *names)
+    return dealt.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(to, F.col("_before") + local + 1).drop("_part", "_before", "_at")
 
 
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 0) -> DataFrame:

@@ -98,6 +98,14 @@ def unmatched_edges(app: DataFrame, matches: DataFrame) -> DataFrame:
     return app.join(matches.select("building", "channel", "edge_no"), ["building", "channel", "edge_no"], "left_anti")
 
 
+def match_counts(app: DataFrame, matches: DataFrame) -> DataFrame:
+    """building, channel, n_edges, n_matched, n_not_found of the appliance edges, with totals in rows whose channel or building is null. Counts are made before and after the shuffle."""
+    both = app.groupBy("building", "channel").agg(F.count("*").alias("n_edges"), F.lit(0).cast("long").alias("n_matched"))
+    found = matches.groupBy("building", "channel").agg(F.lit(0).cast("long").alias("n_edges"), F.count("*").alias("n_matched"))
+    counts = both.unionByName(found).rollup("building", "channel").agg(F.sum("n_edges").alias("n_edges"), F.sum("n_matched").alias("n_matched"))
+    return counts.withColumn("n_not_found", F.col("n_edges") - F.col("n_matched"))
+
+
 def label_main_edges(main: DataFrame, matches: DataFrame, appliances: Sequence[str], unknown: str = "unknown") -> DataFrame:
     """Main edges with a 0/1 column {appliance}_label for each appliance, and label: the first appliance of the list, else unknown."""
     flags = matches.withColumn("flag", F.lit(1)).groupBy("building", F.col("main_edge").alias("edge_no")).pivot("channel", list(appliances)).agg(F.max("flag"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +22,18 @@ def predict(df: DataFrame, clauses: DataFrame, n_class: int, n_feature: int, ret
     into = np.zeros((len(classes), n_class), np.float32)
     into[np.arange(len(classes)), classes] = polarity
 
-    @F.pandas_udf("pred int, votes array<int>")
-    def vote(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<pred: int, votes: array<int>>")
+    def vote(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for bits in batches:
-            there = bits.notna().to_numpy()
-            x = np.stack([b if b is not None else np.zeros(n_feature) for b in bits]).astype(np.float32) if len(bits) else np.zeros((0, n_feature), np.float32)
+            there = bits.is_valid().to_numpy(zero_copy_only=False)
+            x = bits.flatten().to_numpy(zero_copy_only=False).reshape(-1, n_feature).astype(np.float32)  # nulls have no items
             broken = (1 - x) @ positive.T + x @ negative.T
             votes = ((broken == 0).astype(np.float32) @ into).astype(np.int32)
-            yield pd.DataFrame({"pred": pd.Series(votes.argmax(1).astype(np.int32), dtype="Int32").where(there), "votes": pd.Series(list(votes), dtype=object).where(there, None)})
+            ends = np.concatenate([[0], np.cumsum(there) * n_class]).astype(np.int32)
+            pred = np.zeros(len(bits), np.int32)
+            pred[there] = votes.argmax(1)
+            none = pa.array(~there)
+            yield pa.StructArray.from_arrays([pa.array(pred, mask=~there), pa.ListArray.from_arrays(pa.array(ends), pa.array(votes.ravel()), mask=none)], ["pred", "votes"])
 
     voted = df.withColumn("_v", vote("bits"))
     out = voted.withColumn("pred", F.col("_v.pred"))

@@ -11,9 +11,12 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; only where none is named (tests) a local one is set."""
+    """The shared folder named by the session; only where none is named and all runs in one process (tests) a local one is set."""
     found = spark.conf.get(SETTING, None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"{SETTING} has to name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="wattflow-")
         spark.conf.set(SETTING, found)
     return found.rstrip("/")
