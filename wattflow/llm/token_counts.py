@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encode import encoder
+from .memory import bound_batches
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
@@ -75,9 +76,11 @@ def encode_resynced(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, limit: int = LIMIT, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
     """One row for each row of docs: id, n_bytes, n_tokens, over_limit, n_chunks.
 
-    Null and empty texts have no bytes and no tokens. Texts up to chunk_chars go to the tokenizer whole; longer ones
-    are resynchronised. Repeated rows are counted each; null ids stay null; other columns are not read.
+    Null and empty texts have no bytes and no tokens. Texts up to chunk_chars are encoded by the segments that workers
+    keep (see encode); longer ones are resynchronised. Repeated rows are counted each; null ids stay null; other columns
+    are not read.
     """
+    bound_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(tokenizer)
