@@ -149,12 +149,12 @@ def plain_feedback(states, bits, label, id_, epoch, params):
             if train.uniform(own)[0] >= (params.target - sign * votes) / (2 * params.target):
                 continue
             for k in range(n_literal):
-                state, u = states[cls, j, k], train.uniform(draw(own, k))[0]
+                state, u = states[cls, j, k], (int(draw(own, k // 4)[0]) >> 16 * (k % 4)) % 65_536 / 65_536
                 if (j % 2 == 0) == (sign > 0):
                     if holds[j] and literals[k]:
-                        change[cls, j, k] += u < (params.specificity - 1) / params.specificity and state < params.n_state
+                        change[cls, j, k] += u < round(65_536 * (params.specificity - 1) / params.specificity) / 65_536 and state < params.n_state
                     else:
-                        change[cls, j, k] -= u < 1 / params.specificity and state > 1
+                        change[cls, j, k] -= u < round(65_536 / params.specificity) / 65_536 and state > 1
                 elif holds[j]:
                     change[cls, j, k] += not literals[k] and state <= middle
     return change

@@ -116,12 +116,23 @@ def uniform(key: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
+def literal_draws(key: np.ndarray, n: int) -> np.ndarray:
+    """n draws of 16 bits for each key, four of each number of the key."""
+    return keyed(key[:, None], np.arange(-(-n // 4))).astype("<u8").view("<u2")[:, :n]
+
+
+def _in_order(rows: np.ndarray, clauses: np.ndarray, cls: np.ndarray, n_clause: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a row and a clause put in order of the clause's place among all, and that place."""
+    at = cls[rows] * n_clause + clauses
+    order = np.argsort(at, kind="stable")
+    return rows[order], clauses[order], at[order]
+
+
 def _summed(total: np.ndarray, at: np.ndarray, changes: np.ndarray) -> None:
-    """Add each row of changes to the row of total that at names."""
+    """Add each row of changes to the row of total that at, which ascends, names."""
     if len(at):
-        order = np.argsort(at, kind="stable")
-        rows, begins = np.unique(at[order], return_index=True)
-        total[rows] += np.add.reduceat(changes[order], begins, axis=0, dtype=np.int64)
+        begins = np.flatnonzero(np.diff(at, prepend=-1))
+        total[at[begins]] += np.add.reduceat(changes, begins, axis=0, dtype=np.int32)
 
 
 def batch_feedback(states: np.ndarray, bits: np.ndarray, labels: np.ndarray, ids: np.ndarray, epoch: int, params: Params) -> np.ndarray:
@@ -130,30 +141,30 @@ def batch_feedback(states: np.ndarray, bits: np.ndarray, labels: np.ndarray, ids
     The rule is that of feedback, on matrices: rows by clauses for votes and draws, and the drawn pairs of a row and a
     clause by literals for changes. Draws are numbered: the key of seed, epoch and id gives the other class by number 0,
     a clause of the target class (row 0) or the other one (row 1) by number 1 + row * clauses + clause, and that key's
-    numbers are the literals.
+    numbers give the literals' draws, by which 1 / s and (s - 1) / s are rounded to 16 bits.
     """
     n_class, n_clause, n_literal = states.shape
     middle, top, s = params.n_state // 2, params.n_state, params.specificity
     flat, total = states.reshape(-1, n_literal), np.zeros((n_class * n_clause, n_literal), np.int64)
+    may_rise, may_fall, outside = flat < top, flat > 1, flat <= middle
+    learn, forget = (round((1 << 16) * x) for x in ((s - 1) / s, 1 / s))
     literals = np.concatenate([bits, 1 - bits], axis=1).astype(bool)
     key = keyed(keyed(keyed(np.zeros(len(ids), np.uint64), np.uint64(params.seed)), np.uint64(epoch)), ids.astype(np.int64).view(np.uint64))
     other = (uniform(keyed(key, 0)) * (n_class - 1)).astype(np.int64)
     other += other >= labels
-    holds = ((~literals).astype(np.float32) @ (flat > middle).astype(np.float32).T == 0).reshape(-1, n_class, n_clause)
+    holds = ((~literals).astype(np.float32) @ (~outside).astype(np.float32).T == 0).reshape(-1, n_class, n_clause)
     positive, rows = np.arange(n_clause) % 2 == 0, np.arange(len(ids))
     votes = np.clip(holds @ np.where(positive, 1, -1), -params.target, params.target)
     for row, (cls, sign) in enumerate(((labels.astype(np.int64), 1), (other, -1))):
         own, clause_key = holds[rows, cls], keyed(key[:, None], 1 + row * n_clause + np.arange(n_clause))
         drawn = uniform(clause_key) < ((params.target - sign * votes[rows, cls]) / (2 * params.target))[:, None]
         first = drawn & (positive if sign > 0 else ~positive)
-        i, j = np.nonzero(first)
-        at, like = cls[i] * n_clause + j, own[i, j][:, None] & literals[i]
-        draws = uniform(keyed(clause_key[i, j][:, None], np.arange(n_literal)))
-        up, down = like & (draws < (s - 1) / s) & (flat[at] < top), ~like & (draws < 1 / s) & (flat[at] > 1)
-        _summed(total, at, up.astype(np.int8) - down.astype(np.int8))
-        i, j = np.nonzero(drawn & ~first & own)
-        at = cls[i] * n_clause + j
-        _summed(total, at, (~literals[i] & (flat[at] <= middle)).astype(np.int8))
+        i, j, at = _in_order(*np.nonzero(first), cls, n_clause)
+        like, draws = own[i, j][:, None] & literals[i], literal_draws(clause_key[i, j], n_literal)
+        up, down = like & (draws < learn) & may_rise[at], ~like & (draws < forget) & may_fall[at]
+        _summed(total, at, up.view(np.int8) - down.view(np.int8))
+        i, j, at = _in_order(*np.nonzero(drawn & ~first & own), cls, n_clause)
+        _summed(total, at, (~literals[i] & outside[at]).view(np.int8))
     return total.reshape(states.shape)
 
 
