@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import APPLIANCES, CHANNELS, DELAY, LATE_AT, LATE_EVERY, NOISE_LEVEL, SMALL_MODEL, STATE_THRESHOLD, TOLERANCE, TURNS
+from .queries import APPLIANCES, BANDWIDTH, BIN_WIDTH, CHANNELS, DELAY, LATE_AT, LATE_EVERY, NOISE_LEVEL, SMALL_MODEL, STATE_THRESHOLD, TOLERANCE, TURNS
 
 _CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CHANNELS.items())
 _NAMES = ", ".join(f"('{v}')" for v in CHANNELS.values())
@@ -244,6 +244,18 @@ ORACLE_SQL = {
     "stream_late_edges": f"""WITH {IN_TIME_EDGES} SELECT building, channel, edge_no, round(transition, 6) AS transition, duration, start, "end" FROM edges""",
     "stream_late_counts": f"WITH {ARRIVED} SELECT building, channel, count(*) AS n_late FROM arrived WHERE late GROUP BY ALL",
     "stream_resampled_dense": f"WITH {ARRIVED}, {_dense('in_time', f'(t // 3600 + 1) * 3600 - 1 <= (SELECT mark FROM marks WHERE turn = {TURNS})')}",
+    "cluster_pairs": f"""{TOLERANCE_PAIRS.replace("WITH ", "WITH RECURSIVE ", 1)},
+      bins AS (SELECT building, (floor((abs(t1_w) + abs(t2_w)) / 2 / {BIN_WIDTH}) + 0.5) * {BIN_WIDTH} AS x, count(*) AS n FROM near_pairs GROUP BY ALL),
+      shift AS (
+        SELECT building, x, n, x AS pos, 0 AS step FROM bins
+        UNION ALL
+        SELECT s.building, s.x, s.n, sum(b.n * b.x) / sum(b.n), s.step + 1 FROM shift s JOIN bins b ON b.building = s.building AND abs(s.pos - b.x) <= {BANDWIDTH} WHERE s.step < 60 GROUP BY ALL),
+      placed AS (SELECT building, pos, n, row_number() OVER (PARTITION BY building ORDER BY pos, n) AS place FROM shift WHERE step = 60),
+      merged AS (
+        SELECT building, place, pos AS center, n FROM placed WHERE place = 1
+        UNION ALL
+        SELECT p.building, p.place, CASE WHEN p.pos - m.center <= {BANDWIDTH / 2} THEN m.center ELSE p.pos END, p.n FROM merged m JOIN placed p ON p.building = m.building AND p.place = m.place + 1)
+      SELECT building, round(center, 6) AS center_w, CAST(sum(n) AS BIGINT) AS n FROM merged GROUP BY building, center""",
     "resample_hourly": f"WITH {READINGS}, {_dense('readings')}",
     "stream_predict": f"{PREDICTED} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, pred FROM predicted",
     "stream_resampled": f"WITH {READINGS} SELECT building, channel, t // 3600 * 3600 AS t, round(avg(watts), 6) AS watts FROM readings GROUP BY ALL",

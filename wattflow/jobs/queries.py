@@ -21,6 +21,8 @@ STATE_THRESHOLD, NOISE_LEVEL, TOLERANCE = 40.0, 20.0, 3600
 ORDER = ("t", "seq")
 #: Stretches of time (seconds) and of edges that long series are cut into.
 CHUNK_SECONDS, CHUNK_EDGES = 21_600, 50
+#: Of clusters of pair heights.
+BANDWIDTH, BIN_WIDTH = 15.0, 2.0
 FLAGS = {"A": 0, "N": 1, "R": 2}
 N_BITS, N_FEATURE = 4, 16
 #: class, clause, literals that must be 1, literals that must be 0; one clause is empty and so always holds.
@@ -486,7 +488,7 @@ def q_tolerance_shape(spark, sf_dir):
 
 
 def q_cluster_pairs(spark, sf_dir):
-    return pairing.cluster_pairs(pairing.pair_shape(_tolerance_pairs(spark, sf_dir)), bandwidth=15.0, bin_width=2.0)
+    return pairing.cluster_pairs(pairing.pair_shape(_tolerance_pairs(spark, sf_dir)), bandwidth=BANDWIDTH, bin_width=BIN_WIDTH)
 
 
 QUERIES = {name.removeprefix("q_"): f for name, f in list(globals().items()) if name.startswith("q_")} | {"on_time": on_time}
