@@ -122,3 +122,10 @@ def overlaps(start_a: Column, end_a: Column, start_b: Column, end_b: Column, tol
 def known(watts: Column) -> Column:
     """A reading with null in place of NaN, which Spark would compare as larger than any number."""
     return F.when(~F.isnan(watts), watts)
+
+
+def feedback_probability(votes: Column, target: int, sign: int = 1) -> Column:
+    """The chance that a clause learns from a sample: votes, cut to -target and target, fall short of target (sign 1, the sample's class) or exceed -target (sign -1, another class)."""
+    if target < 1 or sign not in (1, -1):
+        raise ValueError("target must be positive, sign 1 or -1")
+    return (target - sign * F.least(F.greatest(votes, F.lit(-target)), F.lit(target))) / (2.0 * target)

@@ -173,6 +173,21 @@ ORACLE_SQL = {
     "melt": f"""WITH {READINGS}, hours AS (SELECT building, t // 3600 AS t, channel, max(watts) AS watts FROM readings GROUP BY ALL)
       SELECT g.building, g.t, c.channel, h.watts FROM (SELECT DISTINCT building, t FROM hours) g CROSS JOIN (VALUES {_NAMES}) c(channel)
       LEFT JOIN hours h ON h.building = g.building AND h.t = g.t AND h.channel = c.channel""",
+    "parts_round_trip": f"""WITH {READINGS}, hours AS (SELECT building, t // 3600 AS hour, channel, round(max(watts), 6) AS watts FROM readings GROUP BY ALL),
+      numbered AS (SELECT building, hour, row_number() OVER (PARTITION BY building ORDER BY hour // 100 % 3, hour) - 1 AS n FROM (SELECT DISTINCT building, hour FROM hours))
+      SELECT g.building, g.hour, g.n, c.channel, h.watts FROM numbered g CROSS JOIN (VALUES {_NAMES}) c(channel)
+      LEFT JOIN hours h ON h.building = g.building AND h.hour = g.hour AND h.channel = c.channel""",
+    "csv_round_trip": f"WITH {EDGES} SELECT building, channel, edge_no, duration AS n_samples, round(total, 4) AS total_watts FROM edges",
+    "stage_round_trip": f"""WITH {EDGES} SELECT building, channel, edge_no, round(transition, 6) AS transition, "end" FROM edges WHERE building IN (1, 3) AND channel IN ('main', 'fridge')""",
+    "submission_round_trip": f"""WITH {READINGS}, lit AS (SELECT DISTINCT channel, t FROM readings WHERE building = 2 AND channel <> 'main' AND watts >= 80)
+      SELECT CAST(2 AS INT) AS building, c.channel, g.t, CAST(EXISTS (SELECT 1 FROM lit WHERE lit.channel = c.channel AND lit.t = g.t) AS DOUBLE) AS value
+      FROM (SELECT DISTINCT t FROM lit) g CROSS JOIN (SELECT unnest([{_LIST}]) AS channel) c""",
+    "labelled_csv": f"WITH {FEATURES} " + " UNION ALL ".join(f"SELECT 'class ' || label AS label, CAST({i} AS INT) AS pos, count(*) AS n, round(avg(f{i}), 6) AS mean, round(stddev_pop(f{i}), 6) AS std FROM features GROUP BY label" for i in range(4)),
+    "unknown_edges": f"WITH {EDGES}, {MATCHES}, {LABELLED} SELECT building, edge_no, round(transition, 6) AS transition FROM labelled WHERE label = 'unknown'",
+    "feedback_probability": f"""{PREDICTED}, own AS (SELECT *, greatest(-1, least(1, CASE label WHEN 0 THEN votes_0 WHEN 1 THEN votes_1 ELSE votes_2 END)) AS v FROM predicted)
+      SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, (1 - v) / 2.0 AS as_target, (1 + v) / 2.0 AS as_other FROM own""",
+    "training_footprint": """SELECT CAST(52 + 8 * n + 4 * n * literals AS BIGINT) AS n_bytes, n AS n_clauses
+      FROM (SELECT 20 * count(DISTINCT label) AS n, 2 * max(len(embedding)) AS literals FROM embeddings)""",
     "wide": f"""WITH {READINGS} SELECT building, t, {", ".join(f"CAST(coalesce(max(CAST(watts >= 80 AS INT)) FILTER (channel = '{a}'), 0) AS INT) AS {a.replace(' ', '_')}" for a in APPLIANCES)}
       FROM readings WHERE channel <> 'main' GROUP BY ALL""",
     "sample_number": f"WITH {READINGS} SELECT building, t, seq, row_number() OVER (PARTITION BY building ORDER BY t, seq) - 1 AS n FROM readings",

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import encode_label
+from ..functions.scalar import encode_label, feedback_probability
 from ..operators import edges, features, matching, metrics, painting, pairing, predict, prepare, train
 from ..operators.model import CLAUSES, Meta, included, load_model, model_footprint, save_model, training_footprint
-from ..sources.readings import melt, widen, with_sample_number
+from ..sources.readings import melt, read_labelled_csv, read_readings, read_stage, read_submission, widen, with_sample_number, write_parts, write_table
 from ..sources.shared import Scratch
 from ..streaming.edges import stream_resampled, stream_transitions
 from ..streaming.late import edges_with_late, late_counts, resampled_with_late, state_store
@@ -96,6 +96,63 @@ def q_melt(spark, sf_dir):
     return melt(wide)
 
 
+def q_parts_round_trip(spark, sf_dir):
+    """Hourly readings, written as part files and read again: a building's parts one after the other, in rows numbered through."""
+    rows = readings(spark, sf_dir).withColumn("hour", F.floor(F.col("t") / 3600).cast("long"))
+    wide = rows.groupBy("building", "hour").pivot("channel", list(CHANNELS.values())).agg(F.round(F.max("watts"), 6))
+    path = Scratch(spark, "parts").path
+    write_parts(wide.withColumn("part", F.pmod(F.floor(F.col("hour") / 100), F.lit(3)).cast("int")), path, index_col="hour")
+    back = with_sample_number(read_readings(spark, f"{path}/house*.csv"), to="n")
+    return melt(back.drop("part").withColumnRenamed("idx", "hour"), ("building", "hour", "n"))
+
+
+def q_csv_round_trip(spark, sf_dir):
+    """Edges with their samples through CSV, where the samples are JSON."""
+    found = edges.transitions(readings(spark, sf_dir), NOISE_LEVEL, STATE_THRESHOLD, order=ORDER, with_sequence=True)
+    path = Scratch(spark, "csv").path
+    write_table(found.select("building", "channel", "edge_no", "sequence"), path, "csv")
+    back = spark.read.option("header", True).schema("channel string, edge_no long, sequence string, building int").csv(path).withColumn("sequence", F.from_json("sequence", "array<double>"))
+    total = F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x)
+    return back.select("building", "channel", "edge_no", F.size("sequence").alias("n_samples"), F.round(total, 4).alias("total_watts"))
+
+
+def q_stage_round_trip(spark, sf_dir):
+    """Of a stage's saved edges those of some buildings and channels, one of which does not exist."""
+    path = Scratch(spark, "stage").path
+    write_table(_edges(spark, sf_dir).select("building", "channel", "edge_no", "transition", "end"), path)
+    return _rounded(read_stage(spark, path, [1, 3, 99], ["main", "fridge", "washer dryer"]), "transition")
+
+
+def q_submission_round_trip(spark, sf_dir):
+    """A building's on/off table, written as a submission and read again; blanks are 0."""
+    on = prepare.binarize(readings(spark, sf_dir)).where("building = 2 and on = 1").groupBy("building", "channel", "t").agg(F.max("on").alias("on"))
+    path = Scratch(spark, "submission").path
+    wide = on.groupBy("t").pivot("channel", APPLIANCES).agg(F.max("on"))
+    wide.write.option("header", True).csv(path)
+    return read_submission(spark, path, 2, index="t")
+
+
+def q_labelled_csv(spark, sf_dir):
+    """Features and labels through a CSV whose last column is the label."""
+    rows = _features(spark, sf_dir)
+    path = Scratch(spark, "labelled").path
+    rows.select(*(F.col("features")[i].alias(f"f{i}") for i in range(4)), F.concat(F.lit("class "), "label").alias("kind")).write.option("header", True).csv(path)
+    back = read_labelled_csv(spark, path)
+    cells = back.select("label", F.posexplode("features").alias("pos", "x"))
+    return _rounded(cells.groupBy("label", "pos").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")), "mean", "std")
+
+
+def q_unknown_edges(spark, sf_dir):
+    """Main edges without an appliance."""
+    return _rounded(_labelled(spark, sf_dir).where("label = 'unknown'").select("building", "edge_no", "transition"), "transition")
+
+
+def q_feedback_probability(spark, sf_dir):
+    rows = _predicted(spark, sf_dir).where("label is not null")
+    own = F.col("votes")[F.col("label")]
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", feedback_probability(own, 1).alias("as_target"), feedback_probability(own, 1, -1).alias("as_other"))
+
+
 def q_wide(spark, sf_dir):
     on = prepare.binarize(readings(spark, sf_dir)).groupBy("building", "channel", "t").agg(F.max("on").alias("on"))
     wide = widen(on, APPLIANCES)

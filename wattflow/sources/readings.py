@@ -94,6 +94,20 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tu
     (writer.option("header", True) if fmt == "csv" else writer).save(path)
 
 
+def write_parts(wide: DataFrame, path: str, part_col: str = "part", index_col: str = "idx") -> None:
+    """Write wide readings (building, part, idx, channels) as read_readings takes them: path/house{building}_{part}.csv, the row index in a first column without a name."""
+    spark, staged = wide.sparkSession, f"{path}/_staged"
+    channels = [c for c in wide.columns if c not in ("building", part_col, index_col)]
+    rows = wide.select("building", F.col(part_col).alias("part"), F.col(index_col).alias(" "), *(F.col(f"`{c}`") for c in channels))
+    rows.repartition("building", "part").sortWithinPartitions("building", "part", " ").write.mode("overwrite").partitionBy("building", "part").option("header", True).csv(staged)
+    system = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for file in _files(spark, f"{staged}/building=*/part=*/*.csv"):
+        building, part = re.search(r"building=(\d+)/part=(\d+)/", file).groups()
+        if not system.rename(spark._jvm.org.apache.hadoop.fs.Path(file), spark._jvm.org.apache.hadoop.fs.Path(f"{path}/house{building}_{part}.csv")):
+            raise OSError(f"{file} could not be moved")
+    system.delete(spark._jvm.org.apache.hadoop.fs.Path(staged), True)
+
+
 def read_stage(spark: SparkSession, path: str, buildings: list[int] | None = None, channels: list[str] | None = None, channel_col: str = "channel") -> DataFrame:
     """A stage's table, for some buildings and channels; a combination without rows is just absent."""
     df = spark.read.parquet(path)
