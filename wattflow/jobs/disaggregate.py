@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 from ..functions.scalar import encode_label
 from ..operators import edges, features, matching, metrics, painting, pairing, predict, prepare, train
 from ..operators.model import FORMS, Meta, included, load_model, save_model
+from ..sources.shared import Scratch
 
 
 #: Edges of a chunk when series are cut into chunks.
 CHUNK_EDGES = 10_000
 
 
+def _edges_of(filled: DataFrame, noise_level: float, state_threshold: float, order: Sequence[str], chunk: float | None) -> DataFrame:
+    """The edges; those of chunks, whose plan is long and which are few beside their readings, are saved once in the shared folder."""
+    found = edges.transitions(filled, noise_level, state_threshold, order=order, chunk=chunk)
+    return found if chunk is None else Scratch(filled.sparkSession, "edges").save(found, "edges")
+
+
 def on_intervals(readings: DataFrame, noise_level: float = 80.0, state_threshold: float = 15.0, order: Sequence[str] = ("t",), chunk: float | None = None, chunk_edges: int = CHUNK_EDGES) -> DataFrame:
     """Readings through back-fill, edges and pairing: one shuffle of readings on (building, channel).
 
@@ -23,7 +30,7 @@ def on_intervals(readings: DataFrame, noise_level: float = 80.0, state_threshold
     its edges are paired in chunks of chunk_edges.
     """
     filled = prepare.backfill(readings, order=order, chunk=chunk)
-    found = edges.transitions(filled, noise_level, state_threshold, order=order, chunk=chunk)
+    found = _edges_of(filled, noise_level, state_threshold, order, chunk)
     return pairing.pair_edges(found, chunk=None if chunk is None else chunk_edges)
 
 
@@ -35,7 +42,7 @@ def painted_scores(readings: DataFrame, threshold: float = 80.0, chunk: float |
 
 def labelled_pairs(readings: DataFrame, appliances: Sequence[str], tolerance: int = matching.TOLERANCE, noise_level: float = 80.0, state_threshold: float = 15.0, order: Sequence[str] = ("t",), main: str = "main", chunk: float | None = None, chunk_edges: int = CHUNK_EDGES) -> DataFrame:
     """Main-meter edges labelled by the appliance edges they overlap, paired by label (chunk: see on_intervals)."""
-    found = edges.transitions(prepare.backfill(readings, order=order, chunk=chunk), noise_level, state_threshold, order=order, chunk=chunk)
+    found = _edges_of(prepare.backfill(readings, order=order, chunk=chunk), noise_level, state_threshold, order, chunk)
     of_main, of_app = found.where(F.col("channel") == main), found.where(F.col("channel").isin(list(appliances)))
     labelled = matching.label_main_edges(of_main, matching.match_edges(of_main, of_app, tolerance, ordered=True, chunk=chunk), appliances)
     return pairing.pair_outermost(labelled, chunk=None if chunk is None else chunk_edges)
