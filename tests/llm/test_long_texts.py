@@ -66,3 +66,16 @@ def test_toxicity_and_language(spark, make_docs):
     assert rows[120].n_words == 6 * 40_000 + 36 and rows[120].score > rows[121].score
     assert any(p.first_word >= 240_000 for p in rows[120].passages) and not rows[121].passages
     assert {r.lang_pred for r in language.identify_languages(spark, df).where("doc_id >= 120").collect()} == {"en"}
+
+
+def test_batches_are_bounded_by_bytes(spark, make_docs):
+    from wattflow.llm import memory
+
+    spark.conf.unset(memory.SETTING)
+    memory.bound_batches(spark)
+    sizes = make_docs(["x" * 100_000] * 400).coalesce(1).select("text").mapInArrow(lambda batches: (b.select([]).from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert len(sizes) > 5 and max(r.n for r in sizes) < 8_000_000
+    spark.conf.set(memory.SETTING, "9m")
+    memory.bound_batches(spark)
+    assert spark.conf.get(memory.SETTING) == "9m"
+    spark.conf.unset(memory.SETTING)
