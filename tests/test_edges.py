@@ -168,3 +168,21 @@ def test_dense_cells_of_a_stream_equal_the_batch(spark):
     expected = prepare.resample(spark.createDataFrame(final, schema), 6).collect()
     assert sorted(map(key, found.where("kind = 'cell'").collect())) == sorted(map(key, expected))
     assert any(r.watts == 0 for r in expected) and found.where("kind = 'late'").count() == late > 0
+
+
+def _drained(spark, rows, made, ts="timestamp_seconds(t)"):
+    stream = spark.createDataFrame(rows, "turn int, building int, channel string, t long, seq long, watts double").selectExpr("*", f"{ts} as ts")
+    with state_store(spark):
+        return drain_in_turns(spark, stream, "turn", 1 + max(r[0] for r in rows), made, "test-mark").collect()
+
+
+def test_a_cell_is_final_when_the_watermark_reaches_its_last_second(spark):
+    rows = [(0, 1, "main", 3600, 0, 2.0), (0, 2, "main", 5000, 1, 4.0), (1, 2, "main", 7209, 2, 6.0)]  # ends at 7199
+    found = _drained(spark, rows, lambda s: resampled_with_late(s, 3600, "10 seconds"))
+    assert sorted((r.kind, r.building, r.t, r.watts) for r in found) == [("cell", 1, 3600, 2.0), ("cell", 2, 3600, 4.0)]
+
+
+def test_parts_of_a_second_do_not_open_a_final_cell_again(spark):
+    rows = [(0, 1, "main", 3600, 0, 2.0), (0, 2, "main", 7209, 1, 4.0), (1, 1, "main", 7199, 2, 6.0), (1, 2, "main", 9000, 3, 4.0)]
+    found = _drained(spark, rows, lambda s: resampled_with_late(s, 3600, "10 seconds"), "timestamp_millis(1000 * t + if(seq = 2, 900, 200))")
+    assert sorted((r.kind, r.building, r.t, r.watts) for r in found) == [("cell", 1, 3600, 2.0), ("late", 1, 7199, 6.0)]

@@ -39,6 +39,16 @@ def test_query_equals_sql(spark, duck, name):
     assert got == _plain(relation.select(*(f'"{c}"' for c in columns)).fetchall())
 
 
+def test_dense_cells_up_to_the_last_second_of_an_hour_equal_sql(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"create table events as select * from '{DATA}/events.parquet'")
+    con.execute("update events set ts = date_trunc('hour', ts) + interval '3599.5 seconds' where ts = (select max(ts) from events)")
+    con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got = QUERIES["stream_resampled_dense"](spark, str(tmp_path)).select("building", "channel", "t", "watts").collect()
+    want = con.sql(f"select building, channel, t, watts from ({ORACLE_SQL['stream_resampled_dense']})").fetchall()
+    assert _plain(map(tuple, got)) == _plain(want)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_other_queries_run(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0

@@ -1,7 +1,7 @@
 """Streams of readings that arrive out of order: keyed state that waits for the watermark, with late readings told apart.
 
 State is kept by transformWithState: readings wait in a list, which grows by what arrives, and a timer at the earliest
-of them wakes a series when the watermark has passed it. A reading at or before the watermark of its batch is late. The
+of them wakes a series when the watermark has reached it. A reading at or before the watermark of its batch is late. The
 watermark's column itself does not reach the stateful operator, so that Spark does not drop late readings unseen.
 """
 
@@ -38,7 +38,7 @@ def state_store(spark: SparkSession):
 
 
 class _Waiting(StatefulProcessor):
-    """Keeps readings (ms, t, seq, watts) until the watermark has passed them and hands them on in order."""
+    """Keeps readings (ms, t, seq, watts) until the watermark has reached them and hands them on in order."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -107,7 +107,7 @@ class _Edges(_Waiting):
 
 
 class _Cells(_Waiting):
-    """Means over a grid; a cell is final when the watermark has passed its last millisecond."""
+    """Means over a grid; a cell is final when the watermark has reached its last second, as readings are in whole seconds."""
 
     def __init__(self, seconds: int):
         self.seconds = seconds
@@ -124,7 +124,7 @@ class _Cells(_Waiting):
         for cell, (total, n) in totals.items():
             old = self.open.getValue((cell,)) if self.open.containsKey((cell,)) else (0.0, 0)
             self.open.updateValue((cell,), (old[0] + total, old[1] + n))
-        end = lambda cell: (cell + self.seconds) * 1000 - 1
+        end = lambda cell: (cell + self.seconds - 1) * 1000
         cells = sorted(k[0] for k in self.open.keys())
         for cell in [c for c in cells if end(c) > mark][:1]:
             self.wake(end(cell), mark)
@@ -174,11 +174,12 @@ def edges_with_late(readings: DataFrame, noise_level: float = 50.0, state_thresh
 def resampled_with_late(readings: DataFrame, seconds: int = 6, delay: str = "1 minute") -> DataFrame:
     """Means over a grid of seconds as soon as a cell is final (kind cell: t, watts), with 0 in the empty cells between two that have readings; late readings as in edges_with_late.
 
-    t is in whole seconds, and is that of ts. Start the query inside ``state_store``.
+    t is in whole seconds, and is that of ts; the watermark follows it, without ts's parts of a second. Start the query
+    inside ``state_store``.
     """
     if seconds < 1:
         raise ValueError("the grid's step must be a second or more")
-    return _stateful(readings, _Cells(seconds), CELLS, delay)
+    return _stateful(readings.withColumn("ts", F.timestamp_seconds("t")), _Cells(seconds), CELLS, delay)
 
 
 def late_counts(found: DataFrame) -> DataFrame:
